@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, language, packing, quality, token_counts
+from quern.llm import chat, decontaminate, language, near_dedup, packing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of five-word shingles of 0.85 or more."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
