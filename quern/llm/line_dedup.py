@@ -49,24 +49,36 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
 def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """One row per document: doc_id, text without its boilerplate lines, n_lines, n_removed."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
-    stages = Stages(df.sparkSession, "line-dedup")
+    return _cleaned(docs, docs, min_sites, band, keep_first).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def clean_documents(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, keep_first: bool = True) -> DataFrame:
+    """``df`` (with doc_id, text, source) with cleaned texts, n_chars (if there) following them; all columns stay."""
+    names = {c: f"_quern_{c}" for c in df.columns if c not in ("doc_id", "text")}
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), "text")
+    whole = df.select("doc_id", F.xxhash64("text").alias("key"), "text", *(F.col(c).alias(n) for c, n in names.items()))
+    out = _cleaned(docs, whole, min_sites, band, keep_first)
+    if "n_chars" in names:
+        out = out.withColumn("_quern_n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("_quern_n_chars")).cast(df.schema["n_chars"].dataType))
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in df.columns))
+
+
+def _cleaned(docs: DataFrame, whole: DataFrame, min_sites: int, band: float, keep_first: bool) -> DataFrame:
+    """``whole`` (doc_id, key, text and more) without the boilerplate of ``docs`` (doc_id, key, site, text)."""
+    stages = Stages(docs.sparkSession, "line-dedup")
     known = stages.write(boilerplate(docs, min_sites, band))
     here = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key")) & (F.col("first.place") == F.col("place"))
     hits = _lines(docs).join(known, ["h1", "h2"])
     if keep_first:
         hits = hits.where(~here)
     cut = hits.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("place").alias("cut"))
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "cut")
+    joined = whole.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
     # The generator holds the split lines as a column, so that they are split once and not per line kept.
-    held = joined.select("doc_id", "text", "cut", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    held = joined.select("*", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
     rest = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
-    return held.select(
-        "doc_id",
-        F.when(F.col("cut").isNull(), F.col("text")).otherwise(rest).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    counted = held.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long"), "n_removed": F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long")})
+    return counted.withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(rest)).drop("lines", "cut", "key")
 
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:

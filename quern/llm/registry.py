@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, language, line_dedup, near_dedup, ngram_lm, packing, quality, token_counts
+from quern.llm import chat, decontaminate, language, line_dedup, near_dedup, ngram_lm, packing, pii, quality, token_counts
 from quern.staging import Stages
 
 
@@ -59,6 +59,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and terms that disclose it."""
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,
+    "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
 }
