@@ -434,7 +434,7 @@ class Scorer:
         count = self.v.take(self.v.counts, seen)
         stat = {k: self.v.take(f, seen) for k, f in self.stats.items()} or {k: np.zeros(len(seen)) for k in ("followed", "n1", "n2", "n3")}
         vocabulary = max(0, lay.words - 1)  # without START
-        lower = (self._discounted(stat["followed"], lay.lower_discounts) / lay.types if lay.types else 0.0) + lay.lower_mass / (vocabulary + 1)
+        lower = lay.lower_mass / (vocabulary + 1) + (self._discounted(stat["followed"], lay.lower_discounts) / lay.types if lay.types else np.zeros(len(seen)))
         d = lay.discounts
         context = np.where(seen == self.end, 0, count)
         spare = np.divide(d[0] * stat["n1"] + d[1] * stat["n2"] + d[2] * stat["n3"], context, out=np.ones(len(seen)), where=context > 0)
