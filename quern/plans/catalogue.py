@@ -97,9 +97,9 @@ def set_intersect(spark, d):
     return explore.set_operation(*_keys(spark, d), "intersect")
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_except(spark, d):
-    return explore.set_operation(read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")), read_table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "except")
+    return explore.set_operation(read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")), read_table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")), "except")
 
 
 @query("""SELECT '{"n_name":"' || n_name || '","n":' || CAST(count(*) AS VARCHAR) || '}' AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
@@ -267,10 +267,10 @@ def _features(spark, d, pairs, feedback=False):
     return recommend.rating_features(pairs, items, orders, means)
 
 
-@query(f'WITH {views.RATINGS} SELECT r."user", r.item, round(stars, 6) AS stars, s_acctbal AS item_stars, CAST(s_nationkey AS DOUBLE) AS item_count, round(o.p, 4) AS user_stars, o.n AS user_count FROM train r JOIN supplier ON s_suppkey = r.item JOIN (SELECT o_custkey, avg(o_totalprice) AS p, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1) o ON o_custkey = r."user"')
+@query(f'WITH {views.RATINGS} SELECT r."user", r.item, round(stars, 6) AS stars, s_acctbal AS item_stars, CAST(s_nationkey AS DOUBLE) AS item_count, round(o.p, 6) AS user_stars, o.n AS user_count FROM train r JOIN supplier ON s_suppkey = r.item JOIN (SELECT o_custkey, avg(o_totalprice) AS p, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1) o ON o_custkey = r."user"')
 def rating_features(spark, d):
     train, _, _ = views.split_ratings(spark, d)
-    return rounded(rounded(_features(spark, d, train), "stars"), "user_stars", digits=4)
+    return rounded(_features(spark, d, train), "stars", "user_stars")
 
 
 _INPUTS = ["item_stars", "item_count", "user_stars", "user_count"]
