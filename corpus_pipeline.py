@@ -17,7 +17,7 @@ NEAR_PERCENT = 80
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the certified cutoffs reject."""
-    verdicts = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdicts, _ = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.drop_rejected(docs, verdicts)
 
 

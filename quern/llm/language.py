@@ -27,7 +27,7 @@ from quern.llm.arrow import as_bytes, id_and_text, map_slices
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("family", T.StringType())])
 #: Buckets of the feature hash, and labelled documents per language that the models are fitted on, at most about.
-BUCKETS, SAMPLE_DOCS = 1 << 14, 1_500
+BUCKETS, SAMPLE_DOCS = 1 << 14, 800
 #: Families of common languages (ISO 639-1).
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
@@ -65,29 +65,50 @@ def has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(text.decode()))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, reg: float = 1e-5, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine, by averaged subgradient steps. y: -1 or 1."""
+class Rows:
+    """Feature vectors kept sparse; a batch becomes dense when it is used."""
+
+    def __init__(self, texts: list[bytes], buckets: int = BUCKETS):
+        self.buckets = buckets
+        self.rows = []
+        for t in texts:
+            x = vector(t, buckets)
+            at = np.flatnonzero(x)
+            self.rows.append((at.astype(np.uint32), x[at]))
+
+    def __call__(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), self.buckets), np.float32)
+        for k, i in enumerate(which):
+            at, value = self.rows[i]
+            out[k, at] = value
+        return out
+
+
+def linear_svm(x: Rows, which: np.ndarray, y: np.ndarray, rounds: int = 12, reg: float = 1e-5, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of a linear support vector machine on rows ``which``, by averaged subgradient steps. y: -1 or 1."""
     rng = np.random.default_rng(seed)
-    w, mean = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    w, mean = np.zeros(x.buckets + 1), np.zeros(x.buckets + 1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     t = 0
     for r in range(rounds):
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             t += 1
             rate = 20.0 / (1 + 0.02 * t)
-            wrong = at[y[at] * (x[at] @ w[:-1] + w[-1]) < 1]
-            g = weight[wrong] * y[wrong]
+            batch = x(which[at])
+            wrong = y[at] * (batch @ w[:-1] + w[-1]) < 1
+            g = weight[at[wrong]] * y[at[wrong]]
             w *= 1 - rate * reg
-            w[:-1] += rate * (g @ x[wrong]) / len(at)
+            w[:-1] += rate * (g @ batch[wrong]) / len(at)
             w[-1] += 0.1 * rate * g.sum() / len(at)
             if r >= rounds // 2:
                 mean += w
     return mean
 
 
-def _scaled(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _scaled(w: np.ndarray, x: Rows, which: np.ndarray) -> np.ndarray:
     """``w`` in units of the median absolute training margin, so that scores compare."""
-    m = np.median(np.abs(x @ w[:-1] + w[-1]))
+    margins = [np.abs(x(at) @ w[:-1] + w[-1]) for at in np.array_split(which, max(1, len(which) // 256))]
+    m = np.median(np.concatenate(margins))
     return w / m if m else w
 
 
@@ -95,21 +116,21 @@ class Model:
     """families: names; family_weights: one-versus-rest; pairs: family -> [(a, b, weights)] with a margin > 0 for a."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
-        x, lang = np.stack([vector(t) for t in texts]), np.array(langs)
+        x, lang = Rows(texts), np.array(langs)
         family = np.array([family_of(v) for v in langs])
         self.families = sorted(set(family))
         self.langs = {f: sorted(set(lang[family == f])) for f in self.families}
 
         def fit(at: np.ndarray, positive: np.ndarray) -> np.ndarray:
-            y = np.where(positive, 1.0, -1.0)
-            return _scaled(linear_svm(x[at], y), x[at], y).astype(np.float32)
+            which = np.flatnonzero(at)
+            return _scaled(linear_svm(x, which, np.where(positive, 1.0, -1.0)), x, which).astype(np.float32)
 
         every = np.ones(len(lang), bool)
         if len(self.families) == 2:
             w = fit(every, family == self.families[0])
             self.family_weights = np.stack([w, -w])
         else:
-            self.family_weights = np.stack([fit(every, family == f) if len(self.families) > 1 else np.zeros(x.shape[1] + 1, np.float32) for f in self.families])
+            self.family_weights = np.stack([fit(every, family == f) if len(self.families) > 1 else np.zeros(x.buckets + 1, np.float32) for f in self.families])
         self.pairs = {f: [(a, b, fit(at := (lang == a) | (lang == b), lang[at] == a)) for a, b in combinations(self.langs[f], 2)] for f in self.families}
 
     def predict(self, text: bytes | None) -> tuple[str, float, str | None]:

@@ -6,11 +6,11 @@ of the signature is the smallest value of ``pi`` shifted circularly by k, so no
 kept. Documents of equal sets are one class. Classes share a band bucket if some ``ROWS`` coordinates agree.
 
 Links are found without emitting the pairs of a bucket. First every class is compared with the hub of each
-of its buckets, which joins the bulk of any group of near copies. Then only buckets whose classes still lie in
+of its buckets, its most central class, which joins the bulk of any group of near copies. Then only buckets whose classes still lie in
 different components are searched: in blocks, inside a worker, pairs across components whose whole
-signatures agree on enough coordinates are emitted, in the first bucket that they share. Every link is
-confirmed on full sets. A pair at the threshold escapes all bands with probability 2e-6 (3e-6 for
-``AT_80``) and the signature test with less than 1e-7; dissimilar pairs are never linked.
+signatures agree on enough coordinates are compared, in the first bucket that they share, and only links that
+join components are emitted. Every link is confirmed on full sets. A pair at the threshold escapes all bands with probability 2e-6 (3e-6 for
+``AT_80``) and the signature test with 3e-7; dissimilar pairs are never linked.
 
 Nulls: a null text has no words; a document without words is linked with nothing. A null id is an id of no
 rank: its row gets its component's smallest id. Rows that repeat an id are judged each and equal texts fall
@@ -47,9 +47,11 @@ CHECKED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.L
 #: Words of a shingle; rows of a band and bands for links from 85 percent on, and for links from 80 percent on.
 WIDTH, AT_85, AT_80 = 5, (6, 28), (5, 32)
 #: Standard deviations below the expected agreement of a pair at the threshold from which a pair is not confirmed.
-DEVIATIONS = 5.5
-#: Classes of a block when a bucket is searched, pairs with one hub that one group confirms, shingles hashed at once, words remembered.
-BLOCK, HUB_PAIRS, CHUNK, MEMO = 1024, 256, 1 << 16, 400_000
+DEVIATIONS = 5.0
+#: Classes and shingles of a block when a bucket is searched, about.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Pairs with one hub that one group confirms, shingles hashed at once, words remembered.
+HUB_PAIRS, CHUNK, MEMO = 256, 1 << 16, 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -179,34 +181,53 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _search(crowded: DataFrame, least: int, percent: int, width: int) -> DataFrame:
-    """Pairs across components within buckets, whose sizes and signatures allow a link.
+    """src, dst: links across components within buckets, as many as join what is linked.
 
-    ``crowded``: bucket, band, node, component, n_shingles, signature, block, blocks. Blocks of a bucket meet in pairs.
+    ``crowded``: bucket, band, node, component, n_shingles, signature, text, block, blocks. Blocks of a bucket meet in
+    pairs, so a worker holds two of them. A pair is looked at in the first bucket that both share: sizes, then
+    signatures, then full sets; pairs whose components have been joined meanwhile are passed over.
     """
     rounds = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = rounds.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-        group = group.sort_values(["block", "node"], kind="stable")
+        lo, hi, band = (int(group[c].iloc[0]) for c in ("lo", "hi", "band"))
+        group = group.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
         node, component, size, block = (group[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
         s = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
-        band = int(group["band"].iloc[0])
-        a_out, b_out = [], []
+        texts, words, sets = group["text"].to_numpy(), _Words(), {}
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(texts[k].encode(), words)
+            return sets[k]
+
+        out = []
         for i in np.flatnonzero(block == lo) if lo != hi else range(len(group)):
             j = np.flatnonzero(block == hi) if lo != hi else np.arange(i + 1, len(group))
             j = j[(component[j] != component[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            if len(j):
-                same = s[j] == s[i]
-                j, same = j[at := same.sum(axis=1) >= least], same[at]
-                if band:  # an earlier band that both share has emitted the pair
-                    j = j[~same[:, : band * width].reshape(len(j), band, width).all(axis=2).any(axis=1)]
-                a_out.append(np.full(len(j), node[i]))
-                b_out.append(node[j])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return meet.drop("other", "blocks").groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long")
+            if not len(j):
+                continue
+            same = s[j] == s[i]
+            j, same = j[at := same.sum(axis=1) >= least], same[at]
+            if band:  # the pair was looked at in an earlier band that both share
+                j = j[~same[:, : band * width].reshape(len(j), band, width).all(axis=2).any(axis=1)]
+            for k in j:
+                ci, ck = find(component[i]), find(component[k])
+                if ci != ck:
+                    common = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
+                    if 100 * common >= percent * (size[i] + size[k] - common):
+                        root[max(ci, ck)] = min(ci, ck)
+                        out.append((node[i], node[k]))
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return meet.drop("other", "blocks").groupBy("bucket", "lo", "hi").applyInPandas(run, "src long, dst long")
 
 
 def least_agreeing(percent: int, coordinates: int) -> int:
@@ -230,8 +251,13 @@ def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = A
     )
     linkable = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
     entries = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    crowds = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("n_shingles", "node").alias("n_a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stages.write(entries.join(crowds, "bucket"))
+    crowds = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded_entries = stages.write(entries.join(crowds, "bucket"))
+    # The hub of a bucket is its most central class, the one that meets most classes over all its buckets.
+    central = crowded_entries.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = stages.write(crowded_entries.join(central, "node"))
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", "node", "n_shingles")).alias("top")).select("bucket", F.col("top.node").alias("hub"), F.col("top.n_shingles").alias("n_a"))
+    shared = stages.write(ranked.drop("met").join(hubs, "bucket"))
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n_a", F.col("n_shingles").alias("n_b")).where(linkable).select("a", "b").distinct()
     pairs = stages.write(_agreeing(stars, classes, least))
     # Texts that any comparison may need: those of classes that share a bucket with another. One text stands for a class.
@@ -241,10 +267,10 @@ def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = A
     links = stages.write(confirm(pairs, texts).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     first = connected_components(links, stages)
     split = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1 and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    crowded = split.join(several, "bucket").join(classes.select("node", "signature"), "node").select("bucket", "band", "node", "component", "n_shingles", "signature", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
-    found = stages.write(_search(crowded, least, percent, rows).distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = confirm(found, texts).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
+    several = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).where("c0 <> c1 and members > 2").select("bucket", blocks.alias("blocks"))
+    crowded = split.join(several, "bucket").join(classes.select("node", "signature"), "node").join(texts, "node").select("bucket", "band", "node", "component", "n_shingles", "signature", "text", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+    more = _search(crowded, least, percent, rows)
     joined = connected_components(stages.write(links.unionByName(more)), stages)
     labelled = classes.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -39,7 +39,7 @@ RULES = ("symbols", "dup_lines", "repeats", "long_words", "capitals", "terms")
 GRID = 1000
 FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in BASE), *(T.StructField(f"rule_{r}", T.LongType()) for r in RULES), T.StructField("base_failed", T.BooleanType())])
 #: Total share of good documents that the rules may reject per stratum, and the chance that a guarantee fails.
-ALPHA, DELTA, GOOD_WEIGHT = 0.03, 0.05, 20.0
+ALPHA, DELTA, GOOD_WEIGHT = 0.05, 0.05, 20.0
 #: Labelled documents from which marking terms are learned, at most about; the terms kept; least documents and precision of a term.
 SAMPLE_DOCS, MAX_TERMS, TERM_DOCS, TERM_PRECISION = 20_000, 200, 5, 0.95
 #: From so many words on, repeats are found with arrays of ranks instead of a set of windows.
@@ -181,18 +181,21 @@ class Verdicts:
         return not values[-1] and all(s < limits.get(r, GRID + 1) for r, s in zip(RULES, scores, strict=True))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = ALPHA, delta: float = DELTA, sample_docs: int = SAMPLE_DOCS) -> Verdicts:
-    """Learn terms and certify cutoffs on the labelled documents."""
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = ALPHA, delta: float = DELTA, sample_docs: int = SAMPLE_DOCS) -> tuple[Verdicts, DataFrame]:
+    """Learn terms and certify cutoffs on the labelled documents; also the features of all documents, as a written table.
+
+    Texts are not shuffled: the sample's ids, whose number ``sample_docs`` bounds, go to the texts, and only features meet labels.
+    """
     stages = Stages(df.sparkSession, "quality")
     known = _labels(labels)
     total = known.count()
     share = min(500_000, 1_000_000 * sample_docs // max(total, 1))  # parts in a million, half of the labels at most
     known = known.withColumn("training", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    stratum = F.col(stratum_col) if stratum_col else F.lit(None).cast("string")
-    labelled = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), stratum.alias("stratum_in")).join(known, "doc_id")
-    terms = learn_terms(labelled.where("training").select("text", "toxic"))
-    scores = features(labelled.where("not training"), terms, stratum_col="stratum_in")
-    held = stages.write(scores.join(known.select("doc_id", "bad"), "doc_id").where("not base_failed"))
+    sample = F.broadcast(known.where("training").select(F.col("doc_id").alias("_id"), "toxic"))
+    texts = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text")).join(sample, F.col("_doc") == F.col("_id")).select("text", "toxic")
+    terms = learn_terms(texts)
+    scores = stages.write(features(df, terms, id_col, text_col, stratum_col))
+    held = scores.where("not base_failed").join(known.where("not training").select("doc_id", "bad"), "doc_id")
     # A stratum with too few good documents can't be certified at any cutoff; the others are few.
     need = math.log(delta) / math.log1p(-alpha / len(RULES))
     sizes = {r["stratum"]: r["n"] for r in held.where("bad = 0").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).collect()}
@@ -200,18 +203,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     counts: dict = {s: {r: {} for r in RULES} for s in sizes}
     for r in rows.groupBy("stratum", "s.rule", "s.score").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad")).collect():  # strata x rules x grid
         counts[r["stratum"]][r["rule"]][r["score"]] = (r["good"], r["bad"])
-    stages.drop(held)
-    return Verdicts(terms, choose_cutoffs(counts, alpha=alpha, delta=delta))
+    return Verdicts(terms, choose_cutoffs(counts, alpha=alpha, delta=delta)), scores
 
 
-def judge(df: DataFrame, verdicts: Verdicts, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """FEATURES and ``kept`` per document."""
-    found = features(df, verdicts.terms, id_col, text_col, stratum_col)
+def judge(scores: DataFrame, verdicts: Verdicts) -> DataFrame:
+    """FEATURES (of ``fit`` or ``features``) with ``kept``."""
     rejected = F.col("base_failed")
     for stratum, limits in sorted(verdicts.cutoffs.items()):
         for rule, cutoff in sorted(limits.items()):
             rejected = rejected | ((F.col("stratum") == stratum) & (F.col(f"rule_{rule}") >= cutoff))
-    return found.withColumn("kept", ~rejected)
+    return scores.withColumn("kept", ~rejected)
 
 
 def drop_rejected(df: DataFrame, verdicts: Verdicts, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

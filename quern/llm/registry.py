@@ -51,7 +51,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and risk-controlled cutoffs over all documents, certified on all labels."""
     docs = _table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    verdicts, scores = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.judge(scores, verdicts)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
