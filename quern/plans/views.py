@@ -54,8 +54,8 @@ EVENT_PAIRS = "pairs AS (SELECT DISTINCT strftime(ts, '%Y%m%d') || '-' || CAST(u
 
 
 def document_words(spark: SparkSession, d: str) -> DataFrame:
-    """id, item: distinct lower-case words between spaces, of documents under 4000 characters."""
-    docs = read_table(spark, d, "documents").where("n_chars < 4000")
+    """id, item: distinct lower-case words between spaces, of all documents."""
+    docs = read_table(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("item")).where("item <> ''")
 
 
