@@ -369,7 +369,7 @@ def modularity_components(spark, d):
 
 @query()
 def girvan_newman(spark, d):
-    return graph.girvan_newman(_edges(spark, d))
+    return graph.girvan_newman(Stages(spark, "graph").write(views.strongest_edges(spark, d)))
 
 
 # Stream sketches

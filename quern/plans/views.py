@@ -69,15 +69,20 @@ def part_pairs(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
 
 
-#: Edges of the test graph: a fixed number of the pairs that share most, which suits every scale.
+#: Edges of the graph that Girvan-Newman gets, whose removals are sequential: the pairs that share most.
 GRAPH_EDGES = 200
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
-    """src < dst, common: the customers' pairs that share most parts."""
+    """src < dst, common: all pairs of customers that share two parts or more."""
     from quern.operators.graph import co_graph
 
-    return co_graph(part_pairs(spark, d), 2).orderBy(F.desc("common"), "src", "dst").limit(GRAPH_EDGES)
+    return co_graph(part_pairs(spark, d), 2)
+
+
+def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The ``GRAPH_EDGES`` edges of ``graph`` that share most; only for Girvan-Newman."""
+    return graph(spark, d).orderBy(F.desc("common"), "src", "dst").limit(GRAPH_EDGES)
 
 
 GRAPH = f"""

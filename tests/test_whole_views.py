@@ -18,3 +18,12 @@ def test_long_documents_and_unknown_lengths_take_part(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ["jaccard_exact_pairs", "jaccard_lsh_pairs"])
 def test_all_documents_equal_sql_over_the_whole_table(spark, tables, name):
     same(spark, tables, QUERIES[name], ORACLE_SQL[name].replace(" WHERE n_chars < 4000", ""))
+
+
+def test_all_edges_take_part(spark, tmp_path):
+    users, parts = range(1, 26), (1, 2)
+    spark.createDataFrame([(u, u) for u in users], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(u, p) for u in users for p in parts], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert QUERIES["cograph_edges"](spark, str(tmp_path)).count() == 300
+    assert {tuple(r) for r in QUERIES["graph_degree"](spark, str(tmp_path)).collect()} == {(u, 24) for u in users}
+    assert QUERIES["girvan_newman"](spark, str(tmp_path)).count() > 0
