@@ -180,10 +180,10 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, CHECKED)
 
 
-def _search(crowded: DataFrame, least: int, percent: int, width: int) -> DataFrame:
+def _search(crowded: DataFrame, least: int, percent: int) -> DataFrame:
     """src, dst: links across components within buckets, as many as join what is linked.
 
-    ``crowded``: bucket, band, node, component, n_shingles, signature, text, block, blocks. Blocks of a bucket meet in
+    ``crowded``: bucket, band, node, component, n_shingles, bands, signature, text, block, blocks. Blocks of a bucket meet in
     pairs, so a worker holds two of them. A pair is looked at in the first bucket that both share: sizes, then
     signatures, then full sets; pairs whose components have been joined meanwhile are passed over.
     """
@@ -194,7 +194,7 @@ def _search(crowded: DataFrame, least: int, percent: int, width: int) -> DataFra
         lo, hi, band = (int(group[c].iloc[0]) for c in ("lo", "hi", "band"))
         group = group.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
         node, component, size, block = (group[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        s = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
+        s, keys = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1), np.stack(group["bands"].to_list())
         texts, words, sets = group["text"].to_numpy(), _Words(), {}
         root: dict[int, int] = {}
 
@@ -214,11 +214,8 @@ def _search(crowded: DataFrame, least: int, percent: int, width: int) -> DataFra
             j = j[(component[j] != component[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
             if not len(j):
                 continue
-            same = s[j] == s[i]
-            j, same = j[at := same.sum(axis=1) >= least], same[at]
-            if band:  # the pair was looked at in an earlier band that both share
-                j = j[~same[:, : band * width].reshape(len(j), band, width).all(axis=2).any(axis=1)]
-            for k in j:
+            j = j[(s[j] == s[i]).sum(axis=1) >= least]
+            for k in j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]:  # else the pair met in the bucket of an earlier band
                 ci, ck = find(component[i]), find(component[k])
                 if ci != ck:
                     common = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
@@ -269,8 +266,8 @@ def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = A
     split = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
     several = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).where("c0 <> c1 and members > 2").select("bucket", blocks.alias("blocks"))
-    crowded = split.join(several, "bucket").join(classes.select("node", "signature"), "node").join(texts, "node").select("bucket", "band", "node", "component", "n_shingles", "signature", "text", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
-    more = _search(crowded, least, percent, rows)
+    crowded = split.join(several, "bucket").join(classes.select("node", "bands", "signature"), "node").join(texts, "node").select("bucket", "band", "node", "component", "n_shingles", "bands", "signature", "text", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+    more = _search(crowded, least, percent)
     joined = connected_components(stages.write(links.unionByName(more)), stages)
     labelled = classes.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
