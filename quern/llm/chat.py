@@ -4,12 +4,13 @@ A template is any function from a list of {role, text} to a string. Successive t
 what a prefix adds to the one before it is that turn's piece, and a second rendering with a probe in the
 place of the turn's text shows where in the piece the text lies. A template whose longer output does not
 begin with the shorter one, or whose piece does not hold the text between the probe's surroundings, rewrites
-history; its turns are marked ``rewritten`` and carry no loss. Long conversations are rendered in windows that
-share a few turns: where both windows give the same pieces for these, the template looks back no further
-than they reach; where they differ the conversation's prefixes are rendered in full.
+history; its turns are marked ``rewritten`` and carry no loss. Every prefix of a conversation is rendered,
+at a cost that grows with the square of its turns, unless the template is declared local
+(``template.local = True``): a turn's piece then depends on that turn alone, and long conversations are rendered
+in windows that share a few turns, whose pieces must agree.
 
 Rows are dealt by conversation and sorted by turn, and stream through a worker, which holds one window of
-turns. Order: turn (nulls first), then role, then text. Nulls: a null text or role is empty, a null
+turns, or a conversation where the template is not local. Order: turn (nulls first), then role, then text. Nulls: a null text or role is empty, a null
 conv_id is a conversation of its own. Repeated rows are turns of their own; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -83,17 +84,20 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{_OPEN}{escape_role(role)}\n{escape(text)}{_CLOSE}\n" for role, text in turns)
 
 
+marked_turns.local = True
+
+
 def read_piece(piece: str) -> Turn:
     """Role and text back from a piece of ``marked_turns``."""
     m = _PIECE.fullmatch(piece)
     return unescape_role(m[1]), unescape(m[2])
 
 
-def _pieces(turns: list[Turn], template: Template, known: int = 1) -> list[tuple[str, int, int, bool]]:
-    """(piece, text start, text end, rewritten) of the turns from ``known - 1`` on, by rendering prefixes."""
+def _pieces(turns: list[Turn], template: Template) -> list[tuple[str, int, int, bool]]:
+    """(piece, text start, text end, rewritten) of the turns, by rendering prefixes."""
     out = []
-    before = template(turns[: known - 1]) if known > 1 else ""
-    for k in range(known, len(turns) + 1):
+    before = ""
+    for k in range(1, len(turns) + 1):
         now = template(turns[:k])
         probed = template([*turns[: k - 1], (turns[k - 1][0], _PROBE)])
         if not now.startswith(before):
@@ -108,7 +112,7 @@ def _pieces(turns: list[Turn], template: Template, known: int = 1) -> list[tuple
 
 
 def locate(turns: Iterator[Turn], template: Template, window: int = WINDOW, shared: int = SHARED) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(role, piece, text start, text end, rewritten) of each turn; at most a window of turns is held while windows agree."""
+    """(role, piece, text start, text end, rewritten) of each turn under a local template; at most a window of turns is held."""
     held: list[Turn] = []
     last: list[tuple] = []
     turns = iter(turns)
@@ -121,35 +125,19 @@ def locate(turns: Iterator[Turn], template: Template, window: int = WINDOW, shar
         got = _pieces(now, template)
         # The first shared turn opens the window and may look different there; those after it must agree.
         if not first and got[1 : len(held)] != last[1:]:
-            raise _LooksBack
+            raise ValueError("the template is declared local but looks back")
         yield from ((r, *g) for (r, _), g in zip(fresh, got[len(held) :], strict=True))
         held, last, first = now[-shared:], got[-shared:], False
         if len(now) < window:
             return
 
 
-class _LooksBack(Exception):
-    """The template looks back further than the shared turns."""
-
-
-def _located(turns: list[Turn] | Iterator[Turn], template: Template) -> Iterator[tuple]:
-    seen: list[Turn] = []
-
-    def remember() -> Iterator[Turn]:
-        for t in turns:
-            if not local:
-                seen.append(t)
-            yield t
-
-    local = template is marked_turns  # proven: a turn's piece depends on that turn alone
-    done = 0
-    try:
-        for x in locate(remember(), template):
-            yield x
-            done += 1
-    except _LooksBack:
-        rest = [*seen, *turns]
-        yield from ((r, *g) for (r, _), g in zip(rest[done:], _pieces(rest, template, done + 1), strict=True))
+def _located(turns: Iterator[Turn], template: Template) -> Iterator[tuple]:
+    if getattr(template, "local", False):
+        yield from locate(turns, template)
+    else:
+        whole = list(turns)
+        yield from ((r, *g) for (r, _), g in zip(whole, _pieces(whole, template), strict=True))
 
 
 def format_turns(df: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

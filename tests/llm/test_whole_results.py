@@ -1,6 +1,6 @@
 """Text-corpus operators leave out no pair, row or turn."""
 
-from quern.llm import near_dedup
+from quern.llm import chat, near_dedup
 
 
 def test_low_bytes_alone_are_no_shared_band(spark):
@@ -9,3 +9,12 @@ def test_low_bytes_alone_are_no_shared_band(spark):
     rows = [(7, 1, n, n, 56, [10 + n, 7], bytes([5] * 12), text, 0, 1) for n in (1, 2)] + [(7, 1, 3, 3, 1, [99, 7], bytes(range(12)), "other", 0, 1)]
     crowded = spark.createDataFrame(rows, "bucket long, band int, node long, component long, n_shingles long, bands array<long>, signature binary, text string, block long, blocks long")
     assert [tuple(r) for r in near_dedup._search(crowded, 10, 85).collect()] == [(1, 2)]
+
+
+def test_templates_that_look_far_back_are_found():
+    turns = [(("user", "assistant")[i % 2], f"t{i}") for i in range(60)]
+    drops = lambda ts: "".join(f"{r}:{t}\n" for r, t in ts[-40:])
+    first = lambda ts: "".join(f"{r}:{t}/{ts[0][1]}\n" for r, t in ts)
+    got = list(chat._located(iter(turns), drops))
+    assert [g[4] for g in got] == [k >= 40 for k in range(60)]
+    assert "".join(g[1] for g in chat._located(iter(turns), first)) == first(turns)
