@@ -7,7 +7,8 @@ left. The item's coverage is the share of its words under marks, whatever their
 that reordered passages count. A document is contaminated where an item's coverage reaches the threshold.
 
 The benchmark is a stated query set: it goes to the workers in blocks of a proven size, each block against
-all rows, so any benchmark works, one pass over the documents per block. Nothing else is shuffled.
+all rows, so any benchmark works, one pass over the documents per block. With several blocks the rows are written
+once with a number each, and the results of a row meet by that number.
 
 Words: ASCII-lower-cased runs without ASCII white space. An item of fewer than ``min_match`` words is one
 seed of all its words; an item or text without words, or null, matches nothing. Repeated documents and
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.arrow import as_bytes, filter_slices, id_and_text, map_slices
+from quern.staging import Stages
 
 SCHEMA = T.StructType(
     [
@@ -153,6 +155,11 @@ def contamination(
 ) -> DataFrame:
     """One row per document: doc_id, contaminated, item_id (the best covered), covered, item_words, n_items."""
     docs = id_and_text(df, id_col, text_col)
+    dealt = list(blocks(benchmark, item_id_col, item_text_col, block_words)) or [[]]
+    keyed = len(dealt) > 1
+    schema = T.StructType([*SCHEMA, T.StructField("row", T.LongType())]) if keyed else SCHEMA
+    if keyed:  # a row's own number, fixed by writing it, as ids may repeat or be null
+        docs = Stages(df.sparkSession, "contamination").write(docs.withColumn("row", F.monotonically_increasing_id()))
 
     def against(items: list[tuple[int, str]]) -> DataFrame:
         def work(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -160,20 +167,19 @@ def contamination(
             for part in parts:
                 found = [tiler.matches(t) for t in as_bytes(part.column("text"))]
                 best = [_best(f) or (None, 0, 0) for f in found]
-                yield {"doc_id": part.column("doc_id"), "contaminated": [bool(f) for f in found], **{n: [b[k] for b in best] for k, n in enumerate(("item_id", "covered", "item_words"))}, "n_items": [len(f) for f in found]}
+                yield {**{c: part.column(c) for c in (("doc_id", "row") if keyed else ("doc_id",))}, "contaminated": [bool(f) for f in found], **{n: [b[k] for b in best] for k, n in enumerate(("item_id", "covered", "item_words"))}, "n_items": [len(f) for f in found]}
 
-        return map_slices(docs, work, SCHEMA)
+        return map_slices(docs, work, schema)
 
-    parts = [against(b) for b in blocks(benchmark, item_id_col, item_text_col, block_words)] or [against([])]
-    if len(parts) == 1:
+    parts = [against(b) for b in dealt]
+    if not keyed:
         return parts[0]
-    # Rows of one document come from each block; only those with a match say more than the first block's row.
-    # Rows that repeat a doc_id fall together here and give one row.
+    # A row comes from each block; only those with a match say more than the first block's.
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     best = F.min_by(F.struct("item_id", "covered", "item_words"), F.struct(F.when(F.col("contaminated"), -F.col("covered") / F.col("item_words")).otherwise(F.lit(1.0)), "item_id"))
-    merged = every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), best.alias("b"), F.sum("n_items").alias("n_items"))
+    merged = every.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.max("contaminated").alias("contaminated"), best.alias("b"), F.sum("n_items").alias("n_items"))
     return merged.select("doc_id", "contaminated", "b.item_id", "b.covered", "b.item_words", "n_items")
 
 

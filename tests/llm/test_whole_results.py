@@ -1,6 +1,6 @@
 """Text-corpus operators leave out no pair, row or turn."""
 
-from quern.llm import chat, near_dedup
+from quern.llm import chat, decontaminate, near_dedup
 
 
 def test_low_bytes_alone_are_no_shared_band(spark):
@@ -18,3 +18,14 @@ def test_templates_that_look_far_back_are_found():
     got = list(chat._located(iter(turns), drops))
     assert [g[4] for g in got] == [k >= 40 for k in range(60)]
     assert "".join(g[1] for g in chat._located(iter(turns), first)) == first(turns)
+
+
+def test_every_row_is_judged_against_several_blocks(spark):
+    items = ["a b c d e f g h", "k l m n o p q r"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(1, items[0]), (1, "clean"), (None, items[1]), (None, "clean"), (None, " ".join(items)), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, [(1, True, 0, 1), (1, False, None, 0), (None, True, 1, 1), (None, False, None, 0), (None, True, 0, 2), (2, False, None, 0)]))
+    for block in (1, 10**6):
+        got = decontaminate.contamination(df, bench, block_words=block).select("doc_id", "contaminated", "item_id", "n_items").collect()
+        assert sorted(str(tuple(r)) for r in got) == want
