@@ -207,9 +207,22 @@ def test_base_values():
 def test_exact_bound_and_cutoffs():
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05**0.01)) < 1e-9
     assert abs(quality.upper_bound(5, 100, 0.05) - 0.10225) < 1e-4
-    counts = {"en": {"symbols": {0: (5000, 10), 10: (3, 0), 50: (0, 400), 900: (0, 20)}, "terms": {0: (5003, 430)}}, "xx": {"symbols": {0: (20, 0), 50: (0, 9)}}}
-    got = quality.choose_cutoffs(counts, ("symbols", "terms"), alpha=0.02, delta=0.05)
-    assert got == {"en": {"symbols": 50}, "xx": {}}
+    steps = quality.ladder({"symbols": {0: (1000, 10), 10: (300, 10), 50: (0, 400), 900: (0, 20)}, "terms": {0: (1300, 430), 3: (0, 2)}}, 5, 1)
+    assert steps == [{"symbols": 50}] * 2 + [{"symbols": 10}] * 3
+    assert quality.choose_rung({0: (0, 400), 4: (100, 10), 5: (5000, 10)}, 5, 0.01, 0.05) == 0
+    assert quality.choose_rung({0: (0, 400), 5: (20, 10)}, 5, 0.01, 0.05) is None
+
+
+def test_no_more_than_delta_of_trials_break_the_bound():
+    """True shares of good documents that each rung rejects, holdouts drawn anew for each trial; copies are one observation."""
+    r, alpha, delta, n = np.random.default_rng(5), 0.05, 0.1, 300
+    true = np.array([0.01, 0.03, 0.049, 0.051, 0.06, 0.09, 0.84])
+    broken = 0
+    for _ in range(1500):
+        drawn = r.multinomial(n, np.diff(np.r_[0, true, 1]))
+        k = quality.choose_rung({i: (int(g), 10_000) for i, g in enumerate(drawn)}, 7, alpha, delta, good_weight=0.0)
+        broken += k is not None and true[k] > alpha
+    assert broken / 1500 <= delta
 
 
 def test_quality_keeps_good_and_drops_bad(spark):
@@ -219,11 +232,15 @@ def test_quality_keeps_good_and_drops_bad(spark):
     labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 7 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
     verdicts, scores = quality.fit(df, labels, sample_docs=500)
     assert verdicts.terms == frozenset({b"scum"})
+    same, _ = quality.keep_documents(df, labels, sample_docs=500)
+    assert same.columns == df.columns
     got = {x["doc_id"]: x["kept"] for x in quality.judge(scores, verdicts).collect()}
     assert got == {i: i % 4 != 0 and i % 7 != 0 for i in range(3000)}
-    assert sorted(x["doc_id"] for x in quality.drop_rejected(df, verdicts).collect()) == sorted(i for i, k in got.items() if k)
+    assert sorted(x["doc_id"] for x in quality.drop_rejected(df, verdicts).collect()) == sorted(i for i, k in got.items() if k) == sorted(x["doc_id"] for x in same.collect())
     empty, scores = quality.fit(odd(spark), labels.limit(0))
     assert empty.cutoffs == {} and quality.judge(scores, empty).count() == len(ODD)
+    kept, _ = quality.keep_documents(odd(spark), labels.limit(0))
+    assert kept.columns == odd(spark).columns and kept.count() == 0
     assert quality.drop_rejected(odd(spark), empty).count() == 0
 
 
