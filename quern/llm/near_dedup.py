@@ -7,10 +7,11 @@ kept. Documents of equal sets are one class. Classes share a band bucket if some
 
 Links are found without emitting the pairs of a bucket. First every class is compared with the hub of each
 of its buckets, its most central class, which joins the bulk of any group of near copies. Then only buckets whose classes still lie in
-different components are searched: in blocks, inside a worker, pairs across components whose whole
-signatures agree on enough coordinates are compared, in the first bucket that they share, and only links that
-join components are emitted. Every link is confirmed on full sets. A pair at the threshold escapes all bands with probability 2e-6 (3e-6 for
-``AT_80``) and the signature test with 3e-7; dissimilar pairs are never linked.
+different components are searched, in blocks inside a worker, by signatures: of the pairs of two components that agree on
+enough coordinates the most alike are handed on, once for all buckets, and confirmed; where there are more, another
+round follows with eight times as many, until each pair of components is joined or all its pairs are compared. Every
+link is confirmed on full sets; texts move only to be confirmed. A pair at the threshold escapes all bands with
+probability 2e-6 (3e-6 for ``AT_80``) and the signature test with 3e-7; dissimilar pairs are never linked.
 
 Nulls: a null text has no words; a document without words is linked with nothing. A null id is an id of no
 rank: its row gets its component's smallest id. Rows that repeat an id are judged each and equal texts fall
@@ -48,8 +49,8 @@ CHECKED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.L
 WIDTH, AT_85, AT_80 = 5, (6, 28), (5, 32)
 #: Standard deviations below the expected agreement of a pair at the threshold from which a pair is not confirmed.
 DEVIATIONS = 5.0
-#: Classes and shingles of a block when a bucket is searched, about.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Classes of a block when a bucket is searched, about, and pairs of two components that a block hands on in the first round.
+BLOCK, FIRST_PAIRS = 2048, 8
 #: Pairs with one hub that one group confirms, shingles hashed at once, words remembered.
 HUB_PAIRS, CHUNK, MEMO = 256, 1 << 16, 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -156,10 +157,10 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return sides.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """CHECKED for pairs (a, b) of nodes; ``texts``: node, text. Pairs of one hub are dealt out in salted groups."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("salts"))
-    salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+def confirm(pairs: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
+    """CHECKED for pairs (a, b) of nodes, a written table; ``texts``: node, text. Pairs of one hub are dealt out in salted groups."""
+    crowded = stages.write(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("salts")).where("salts > 1"))
+    salted = stages.write(pairs.join(crowded, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt")))
     members = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
     hubs = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     dealt = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
@@ -180,12 +181,15 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, CHECKED)
 
 
-def _search(crowded: DataFrame, least: int, percent: int) -> DataFrame:
-    """src, dst: links across components within buckets, as many as join what is linked.
+_HANDED = "a long, b long, more boolean"
 
-    ``crowded``: bucket, band, node, component, n_shingles, bands, signature, text, block, blocks. Blocks of a bucket meet in
-    pairs, so a worker holds two of them. A pair is looked at in the first bucket that both share: sizes, then
-    signatures, then full sets; pairs whose components have been joined meanwhile are passed over.
+
+def _search(crowded: DataFrame, least: int, percent: int, most: int) -> DataFrame:
+    """a, b: pairs across components within buckets whose sizes and signatures allow a link, at most ``most`` for two components.
+
+    ``crowded``: bucket, band, node, component, n_shingles, bands, signature, block, blocks. Blocks of a bucket meet in
+    pairs, so a worker holds two of them. A pair is looked at in the first bucket that both share. A row with ``more``
+    (and no pair) says that a group has further pairs.
     """
     rounds = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = rounds.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
@@ -195,36 +199,27 @@ def _search(crowded: DataFrame, least: int, percent: int) -> DataFrame:
         group = group.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
         node, component, size, block = (group[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
         s, keys = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1), np.stack(group["bands"].to_list())
-        texts, words, sets = group["text"].to_numpy(), _Words(), {}
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := root.get(c, c)) != c:
-                root[c] = c = root.get(up, up)
-            return c
-
-        def shingles(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingle_set(texts[k].encode(), words)
-            return sets[k]
-
-        out = []
+        found = []
         for i in np.flatnonzero(block == lo) if lo != hi else range(len(group)):
             j = np.flatnonzero(block == hi) if lo != hi else np.arange(i + 1, len(group))
             j = j[(component[j] != component[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            if not len(j):
-                continue
-            j = j[(s[j] == s[i]).sum(axis=1) >= least]
-            for k in j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]:  # else the pair met in the bucket of an earlier band
-                ci, ck = find(component[i]), find(component[k])
-                if ci != ck:
-                    common = len(np.intersect1d(shingles(i), shingles(k), assume_unique=True))
-                    if 100 * common >= percent * (size[i] + size[k] - common):
-                        root[max(ci, ck)] = min(ci, ck)
-                        out.append((node[i], node[k]))
-        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
-
-    return meet.drop("other", "blocks").groupBy("bucket", "lo", "hi").applyInPandas(run, "src long, dst long")
+            if len(j):
+                same = (s[j] == s[i]).sum(axis=1)
+                j, same = j[same >= least], same[same >= least]
+                first = ~(keys[j, :band] == keys[i, :band]).any(axis=1)  # else the pair met in the bucket of an earlier band
+                found.append(np.stack([np.full(first.sum(), i), j[first], same[first]]))
+        i, j, same = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
+        x, y = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+        order = np.lexsort((node[j], node[i], -same, y, x))
+        i, j, x, y = i[order], j[order], x[order], y[order]
+        starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(i) else np.empty(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+        out = pd.DataFrame({"a": node[i[rank < most]], "b": node[j[rank < most]], "more": False}).astype({"a": "Int64", "b": "Int64"})
+        if (rank >= most).any():
+            out = pd.concat([out, pd.DataFrame({"a": [None], "b": [None], "more": [True]}).astype({"a": "Int64", "b": "Int64"})])
+        return out
+
+    return meet.drop("other", "blocks").groupBy("bucket", "lo", "hi").applyInPandas(run, _HANDED)
 
 
 def least_agreeing(percent: int, coordinates: int) -> int:
@@ -261,14 +256,21 @@ def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = A
     members = shared.select("node").distinct().join(classes.select("node", "doc_id"), "node")
     texts = stages.write(_texts_of(members, id_and_text(df, id_col, text_col)))
     linked = (F.lit(100) * F.col("common") >= F.lit(percent) * F.col("united"))
-    links = stages.write(confirm(pairs, texts).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    first = connected_components(links, stages)
-    split = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
-    several = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).where("c0 <> c1 and members > 2").select("bucket", blocks.alias("blocks"))
-    crowded = split.join(several, "bucket").join(classes.select("node", "bands", "signature"), "node").join(texts, "node").select("bucket", "band", "node", "component", "n_shingles", "bands", "signature", "text", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
-    more = _search(crowded, least, percent)
-    joined = connected_components(stages.write(links.unionByName(more)), stages)
+    links = stages.write(confirm(pairs, texts, stages).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    joined = connected_components(links, stages)
+    most = FIRST_PAIRS
+    while True:
+        split = shared.select("bucket", "band", "node", "n_shingles").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1 and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+        crowded = split.join(several, "bucket").join(classes.select("node", "bands", "signature"), "node").select("bucket", "band", "node", "component", "n_shingles", "bands", "signature", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+        handed = stages.write(_search(crowded, least, percent, most))
+        fresh = stages.write(confirm(handed.where("not more").select("a", "b"), texts, stages).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        if fresh.limit(1).count():
+            links = links.unionByName(fresh)
+            joined = connected_components(stages.write(links), stages)
+        if handed.where("more").limit(1).count() == 0:
+            break
+        most *= 8
     labelled = classes.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = labelled.join(smallest, "component").select("node", "component_id")

@@ -263,6 +263,7 @@ def near_brute(texts, percent):
 @pytest.mark.parametrize("percent,shape,block", [(85, near_dedup.AT_85, 1024), (80, near_dedup.AT_80, 4)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, shape, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "FIRST_PAIRS", 1)
     r = random.Random(percent)
     base = words(r, 80, 500).split()
     texts = [words(r, r.randrange(1, 60), 500) for _ in range(20)] + [None, "", "  ", "short one", "SHORT one"]
