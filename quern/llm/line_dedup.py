@@ -32,18 +32,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     return plain.select("doc_id", "key", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """h1, h2, first (doc_id, key, place) of the lines that ``min_sites`` sites or more carry. ``docs``: doc_id, key, site, text."""
-    lines = _lines(docs)
-    often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
-    candidates = lines.join(often, ["h1", "h2"])
-    sketched = candidates.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("doc_id", "key", "place")).alias("first"))
+def _candidates(docs: DataFrame, stages: Stages, min_sites: int) -> DataFrame:
+    """The lines that occur ``min_sites`` times or more, written: sketches, exact counts and cuts all read them.
+
+    What occurs often is counted first, with a map-side sum for each line, and written, so that the join with
+    it has no aggregation behind it and a very common line's partition can be split.
+    """
+    often = stages.write(_lines(docs).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2"))
+    return stages.write(_lines(docs).join(often, ["h1", "h2"]))
+
+
+def boilerplate(candidates: DataFrame, stages: Stages, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
+    """h1, h2, first (doc_id, key, place) of the lines that ``min_sites`` sites or more carry, written."""
+    sketched = stages.write(candidates.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("doc_id", "key", "place")).alias("first")))
     far = sketched.where((F.col("sites") > min_sites * (1 + band)) | (F.col("sites") < min_sites * (1 - band)))
     near = sketched.where((F.col("sites") <= min_sites * (1 + band)) & (F.col("sites") >= min_sites * (1 - band)))
-    pairs = candidates.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
-    exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
+    # Distinct pairs first, summed map-side: a line near the threshold has few sites, however often it occurs.
+    pairs = candidates.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).select("h1", "h2")
+    exact = pairs.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
     sure = far.where(F.col("sites") >= min_sites).select("h1", "h2", "first")
-    return sure.unionByName(near.drop("sites").join(exact.where(F.col("sites") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first"))
+    return stages.write(sure.unionByName(near.drop("sites").join(exact.where(F.col("sites") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first")))
 
 
 def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -66,9 +74,10 @@ def clean_documents(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAN
 def _cleaned(docs: DataFrame, whole: DataFrame, min_sites: int, band: float, keep_first: bool) -> DataFrame:
     """``whole`` (doc_id, key, text and more) without the boilerplate of ``docs`` (doc_id, key, site, text)."""
     stages = Stages(docs.sparkSession, "line-dedup")
-    known = stages.write(boilerplate(docs, min_sites, band))
+    candidates = _candidates(docs, stages, min_sites)
+    known = boilerplate(candidates, stages, min_sites, band)
     here = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key")) & (F.col("first.place") == F.col("place"))
-    hits = _lines(docs).join(known, ["h1", "h2"])
+    hits = candidates.join(known, ["h1", "h2"])
     if keep_first:
         hits = hits.where(~here)
     cut = hits.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("place").alias("cut"))
