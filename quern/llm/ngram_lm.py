@@ -1,15 +1,20 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order from two on.
 
 The counts are made in Spark. Words become 64-bit hashes; their counts are summed by a shuffle and written as
-sorted hash arrays, one file per range of hashes, and a word's place in them is its number. Bigrams of numbers
+sorted hash arrays, one file per range of hashes, and a word's place in them is its number. N-grams of numbers
 are counted per partition, packed (sorted, delta-coded, compressed) and merged per part into sorted arrays of
-keys with counts. Contexts of a part stay together but for hot words, whose bigrams are dealt over all parts by
-hash; whether a word is hot follows from its count, which every worker can look up. Each merged part yields
-context and continuation statistics, which are summed into arrays beside the words'. Workers memory-map
-all arrays, so a model larger than memory serves.
+64-bit n-gram hashes with counts; each merged n-gram then counts once for its last words, which gives the
+continuation counts of the next lower order, merged the same way, down to single words. N-grams of a context stay in
+one part but for hot contexts, all of whose words are frequent: their n-grams are dealt over all parts by hash, and
+their sums meet in a shuffle. The orders follow one another in one job, whose rows are what the next order counts. Whether a context is hot follows from its words' counts, which every worker can look up.
+Contexts that occur once are not stored: one that is a known n-gram and not stored has one follower. Workers open
+parts on demand and memory-map them, so a model larger than memory serves.
 
-Files lie in the shared folder; where that is no mounted folder, workers fetch a copy through Arrow's file
-systems. Tasks write under another name and rename, so retried and speculative tasks are harmless.
+Of a sorted hash, an index holds the first bits and 32 more are stored, so that a lookup takes another n-gram for its own
+with a probability of some 2e-9. Texts begin with order - 1 start marks, which count as words of contexts.
+
+Files lie in the shared folder; where that is no mounted folder, workers read a copy in a folder of their own, which
+goes when the worker does. Tasks write under another name and rename, so retried and speculative tasks are harmless.
 
 Words are ASCII-lower-cased runs without ASCII white space; each text has one end token. Nulls: a null text is
 empty (its end token is scored); a null id stays null. Unknown words take the uniform share of the lowest order.
@@ -19,8 +24,10 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -49,18 +56,31 @@ SCORES = T.StructType(
         T.StructField("score", T.DoubleType()),
     ]
 )
-#: Words of a file of hashes, tokens of a bigram part, tokens counted before a worker packs them, words remembered by a worker.
-WORDS_PER_FILE, TOKENS_PER_PART, PACK_TOKENS, MEMO = 1 << 20, 3_000_000, 3_000_000, 400_000
+#: The order of the model, of two or more.
+ORDER = 3
+#: Words of a file of hashes, tokens of a part, tokens counted before a worker packs them, words remembered and files opened by a worker.
+WORDS_PER_FILE, TOKENS_PER_PART, PACK_TOKENS, MEMO, OPEN = 1 << 20, 2_000_000, 3_000_000, 400_000, 4096
 #: No word holds a line break, so these hashes belong to no word.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64(0xFFFFFFFF)
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+_FOLDERS: list[str] = []
+
+
+def _own_folder() -> str:
+    """A folder of this worker process for copies, removed at its end."""
+    if not _FOLDERS:
+        _FOLDERS.append(tempfile.mkdtemp(prefix="quern-lm-"))
+        atexit.register(shutil.rmtree, _FOLDERS[0], True)
+    return _FOLDERS[0]
+
+
 class Store:
     """Arrays in a folder that all workers share."""
 
@@ -94,7 +114,7 @@ class Store:
             if not os.path.exists(path):
                 return np.empty(0, dtype)
         else:
-            path = os.path.join(tempfile.gettempdir(), f"{os.path.basename(self.folder)}-{name}")
+            path = os.path.join(_own_folder(), f"{os.path.basename(self.folder)}-{name}")
             if not os.path.exists(path):
                 from pyarrow.fs import FileType
 
@@ -108,13 +128,26 @@ class Store:
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
 
 
+class Opened(dict):
+    """name -> array of a store, opened when asked for; the oldest are closed beyond ``OPEN``."""
+
+    def __init__(self, store: Store, dtype):
+        super().__init__()
+        self.store, self.dtype = store, dtype
+
+    def __missing__(self, name: str) -> np.ndarray:
+        if len(self) >= OPEN:
+            del self[next(iter(self))]
+        self[name] = out = self.store.get(name, self.dtype)
+        return out
+
+
 class Vocabulary:
     """The words' sorted hashes: file f holds the hashes whose top bits are f; first[f] is the number of its first word."""
 
     def __init__(self, store: Store, bits: int, first: list[int]):
         self.store, self.bits, self.first = store, bits, np.array(first, np.int64)
-        self.hashes = [store.get(f"word-hash-{f}", np.uint64) for f in range(1 << bits)]
-        self.counts = [store.get(f"word-count-{f}", np.uint64) for f in range(1 << bits)]
+        self.files = Opened(store, np.uint64)
         self.memo: dict[bytes, int] = {}
 
     def _file(self, h: np.ndarray) -> np.ndarray:
@@ -125,7 +158,7 @@ class Vocabulary:
         out, files = np.full(len(h), -1, np.int64), self._file(h)
         for f in np.unique(files):
             at = np.flatnonzero(files == f)
-            known = self.hashes[f]
+            known = self.files[f"word-hash-{f}"]
             if len(known):
                 k = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
                 out[at] = np.where(known[k] == h[at], self.first[f] + k, -1)
@@ -144,21 +177,60 @@ class Vocabulary:
         get = self.memo.__getitem__
         return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
-    def take(self, files: list[np.ndarray], number: np.ndarray) -> np.ndarray:
-        """Values at the words' numbers; 0 where a number is negative."""
-        out = np.zeros(len(number), np.float64)
+    def counts(self, number: np.ndarray) -> np.ndarray:
+        """The words' counts; 0 where a number is negative."""
+        out = np.zeros(len(number), np.int64)
         of = np.searchsorted(self.first, number, side="right") - 1
         for f in np.unique(of[number >= 0]):
             at = np.flatnonzero((of == f) & (number >= 0))
-            if len(files[f]):
-                out[at] = files[f][number[at] - self.first[f]]
+            if len(known := self.files[f"word-count-{f}"]):
+                out[at] = known[number[at] - self.first[f]]
         return out
 
 
-def _part_of(u: np.ndarray, key: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    mixed = np.where(hot, key, u.astype(np.uint64)) * _ODD
-    mixed ^= mixed >> np.uint64(32)
-    return ((mixed * _ODD) >> np.uint64(33)).astype(np.int64) % parts
+def chained(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of rows of words; that of a context, then a word, is that of the longer row. Nothing for no columns."""
+    h = np.zeros(len(columns[0]) if columns else 0, np.uint64)
+    for c in columns:
+        h = (h ^ (c.astype(np.uint64) + np.uint64(0x9E37))) * _ODD
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def indexed(key: np.ndarray) -> np.ndarray:
+    """Sorted hashes as 32-bit numbers: the bits b of the index, 2 ** b + 1 places, and of each hash the 32 bits after the first b."""
+    b = max(0, len(key).bit_length() - 4)
+    first = key >> np.uint64(64 - b) if b else np.zeros(len(key), np.uint64)
+    places = np.searchsorted(first, np.arange((1 << b) + 1, dtype=np.uint64))
+    return np.concatenate([[b], places, (key >> np.uint64(32 - b)) & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+
+
+def find(index: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The places of hashes in ``indexed`` ones, -1 where they are not."""
+    b = int(index[0])
+    places, stored = index[1 : (1 << b) + 2], index[(1 << b) + 2 :]
+    first = (key >> np.uint64(64 - b)).astype(np.int64) if b else np.zeros(len(key), np.int64)
+    want = ((key >> np.uint64(32 - b)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    low, end = places[first].astype(np.int64), places[first + 1].astype(np.int64)
+    high = end.copy()
+    at = np.flatnonzero(low < high)
+    while len(at):
+        middle = (low[at] + high[at]) >> 1
+        less = stored[middle] < want[at]
+        low[at[less]], high[at[~less]] = middle[less] + 1, middle[~less]
+        at = at[low[at] < high[at]]
+    inside = np.flatnonzero(low < end)
+    out = np.full(len(key), -1, np.int64)
+    hit = inside[stored[low[inside]] == want[inside]]
+    out[hit] = low[hit]
+    return out
+
+
+def _part(context: np.ndarray, key: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each n-gram: by its context, or by its own hash where the context is hot."""
+    return ((np.where(hot, key, context) * _ODD) >> np.uint64(33)).astype(np.int64) % parts
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -171,12 +243,16 @@ def _expand(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the sums of their values (rows)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.add.reduceat(values[order], starts, axis=0) if len(keys) else values
+def _rows_summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct rows with their summed counts."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -249,119 +325,169 @@ def _write_words(counts: DataFrame, store: Store, bits: int) -> dict[int, int]:
 class Layout:
     """What a worker needs to open the model; small."""
 
-    def __init__(self, store: Store, bits: int, first: list[int], parts: int, tokens: int):
-        self.store, self.bits, self.first, self.parts, self.tokens = store, bits, first, parts, tokens
-        self.words = 0
-        self.discounts: tuple = ()
-        self.lower_discounts: tuple = ()
-        self.lower_mass = self.types = 0.0
+    def __init__(self, store: Store, bits: int, first: list[int], parts: int, tokens: int, order: int):
+        self.store, self.bits, self.first, self.parts, self.tokens, self.order = store, bits, first, parts, tokens, order
+        self.words = self.types = 0
+        self.hot_count = TOKENS_PER_PART // 4
+        self.lower_mass = 0.0
+        self.discounts: dict[int, tuple] = {}
 
     def vocabulary(self) -> Vocabulary:
         return Vocabulary(self.store, self.bits, self.first)
 
-    @property
-    def hot(self) -> int:
-        """A word of more tokens than this has its bigrams dealt over all parts."""
-        return TOKENS_PER_PART // 4
+    def hot(self, counts: list[np.ndarray]) -> np.ndarray:
+        """Whether contexts are hot, by the counts of their words, a column each: so many that a part would not hold them."""
+        out = np.ones(len(counts[0]), bool)
+        for c in counts:
+            out &= c > self.hot_count
+        return out
 
 
-def _pairs(texts: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and words of all tokens of the texts."""
+def _columns(texts: list[np.ndarray], start: int, end: int, order: int) -> list[np.ndarray]:
+    """The n-grams of all tokens of the texts, a column for each of their words."""
     w = np.concatenate([x for t in texts for x in (t, [end])]).astype(np.int64)
-    u = np.r_[start, w[:-1]]
-    u[np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])] = start
-    return u, w
-
-
-def _packed_bigrams(texts: DataFrame, layout: Layout) -> DataFrame:
-    """part, keys, counts: packed counts of bigrams."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = []
+    for back in range(order - 1, 0, -1):
+        moved = np.full(len(w), start)
+        moved[back:] = w[:-back]
+        moved[place < back] = start
+        out.append(moved)
+    return [*out, w]
+
+
+PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+
+def _packed(columns: list[np.ndarray], counts: np.ndarray, layout: Layout, v: Vocabulary) -> dict:
+    """PACKED columns for sorted rows of words."""
+    context = chained(columns[:-1])
+    if len(columns) > 1:
+        seen, back = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
+        hot = layout.hot(list(v.counts(seen)[back].reshape(len(columns) - 1, -1)))
+        part = _part(context, chained(columns), hot, layout.parts)
+    else:
+        part = _part(chained(columns), chained(columns), np.ones(len(counts), bool), layout.parts)
+    order = np.argsort(part, kind="stable")
+    part, columns, counts = part[order], [c[order] for c in columns], counts[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    ends = np.r_[cuts[1:], len(part)][: len(cuts)]
+    words = [_squeeze(np.concatenate([np.diff(columns[0][a:b], prepend=0), *(c[a:b] for c in columns[1:])])) for a, b in zip(cuts, ends, strict=True)]
+    return {"part": part[cuts].astype(np.int32), "words": words, "counts": [_squeeze(counts[a:b]) for a, b in zip(cuts, ends, strict=True)]}
+
+
+def _packed_tokens(texts: DataFrame, layout: Layout) -> DataFrame:
+    """PACKED counts of the n-grams of the highest order."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         v = layout.vocabulary()
         start, end = v.number(START), v.number(END)
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
         n = 0
 
         def flush() -> dict:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            u = (key >> np.uint64(32)).astype(np.int64)
-            part = _part_of(u, key, v.take(v.counts, u) > layout.hot, layout.parts)
-            order = np.argsort(part, kind="stable")
-            key, count, part = key[order], count[order].astype(np.uint32), part[order]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[cuts[1:], len(part)]
-            keys = [_squeeze(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, ends, strict=True)]
-            return {"part": part[cuts].astype(np.int32), "keys": keys, "counts": [_squeeze(count[a:b]) for a, b in zip(cuts, ends, strict=True)]}
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return _packed(*_rows_summed(rows, np.ones(len(rows[0]), np.int64)), layout, v)
 
         for part in parts:
-            u, w = _pairs(v.of_texts([words_of(t) for t in as_bytes(part.column("text"))]), start, end)
-            held.append(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64))
-            n += len(w)
+            held.append(_columns(v.of_texts([words_of(t) for t in as_bytes(part.column("text"))]), start, end, layout.order))
+            n += len(held[-1][0])
             if n >= PACK_TOKENS:
                 yield flush()
                 held, n = [], 0
         if held:
             yield flush()
 
-    return map_slices(texts, work, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
+    packed = map_slices(texts, work, PACKED)
+    return packed.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in _MERGED.fields[3:]))
+
 
+_COUNTED = ("t1", "t2", "t3", "t4", "up3", "types", "total")
+#: What a merge returns: packed n-grams of the next order (part from 0 on), sums of hot contexts or counts of counts (a negative
+#: part; context null) of the order ``m``, which the merges of lower orders pass on.
+_MERGED = T.StructType([*PACKED.fields, T.StructField("m", T.IntegerType()), T.StructField("context", T.LongType()), *(T.StructField(c, T.LongType()) for c in _COUNTED)])
 
-_STATS = "part int, words binary, values binary, t1 long, t2 long, t3 long, t4 long, types long"
 
+def _context_sums(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct contexts with total, n1, n2 and n3 (or more) in columns."""
+    order = np.argsort(context, kind="stable")
+    context, counts = context[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.empty(0, np.int64)
+    each = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
+    return context[starts], np.add.reduceat(each, starts, axis=0) if len(starts) else each
 
-def _merge_bigrams(packed: DataFrame, layout: Layout) -> DataFrame:
-    """Write the parts' sorted arrays; rows of statistics: per file of words (followers, n1, n2, n3 each), and counts of counts."""
-    first = np.array(layout.first)
+
+def _merge(packed: DataFrame, layout: Layout, m: int) -> DataFrame:
+    """Write the sorted arrays of the n-grams of ``m`` words and of their contexts; rows as _MERGED says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, blobs in _grouped(batches, "keys", "counts"):
-            keys = np.concatenate([np.cumsum(_expand(k, np.uint64), dtype=np.uint64) for k, _ in blobs])
-            keys, counts = _summed(keys, np.concatenate([_expand(c, np.uint32) for _, c in blobs]).astype(np.int64))
-            layout.store.put(f"pair-key-{part}", keys)
-            layout.store.put(f"pair-count-{part}", counts.astype(np.uint32))
-            u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
-            zero = np.zeros(len(u), np.uint32)
-            of_u = np.stack([zero, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.uint32)
-            of_w = np.stack([zero + np.uint32(1), zero, zero, zero], axis=1)
-            cu, su = _summed(u, of_u)
-            cw, sw = _summed(w, of_w)
-            number, values = _summed(np.concatenate([cu, cw]), np.concatenate([su, sw]))
-            file = np.searchsorted(first, number, side="right") - 1
-            out = []
-            for f in np.unique(file):
-                at = file == f
-                out.append((int(f), _squeeze(np.diff(number[at].astype(np.uint64), prepend=np.uint64(0))), _squeeze(np.ascontiguousarray(values[at].astype(np.uint32))), 0, 0, 0, 0, 0))
-            t = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            out.append((-1, b"", b"", *t, len(keys)))
-            yield _rows(out)
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "words", "values", "t1", "t2", "t3", "t4", "types"])
-
-    return packed.repartition(layout.parts, "part").sortWithinPartitions("part").mapInArrow(run, _STATS)
-
-
-def _write_stats(stats: DataFrame, layout: Layout) -> dict[str, int]:
-    """Write the words' statistics beside their hashes; counts of continuation counts."""
-    sizes = np.diff(np.r_[layout.first, layout.words]).tolist()
+        v = layout.vocabulary()
+        start = v.number(START)
+        for part, blobs in _grouped(batches, *PACKED.names[1:], *_MERGED.names[3:]):
+            if part < 0:  # sums of a higher order, to pass on
+                yield _merged({"part": [part] * len(blobs), **dict(zip(_MERGED.names[3:], ([x[k] for x in blobs] for k in range(2, len(_MERGED) - 1)), strict=True))})
+                continue
+            rows: list[list[np.ndarray]] = [[] for _ in range(m)]
+            for words, *_ in blobs:
+                flat = _expand(words, np.int64).reshape(m, -1)
+                for k in range(m):
+                    rows[k].append(np.cumsum(flat[0]) if k == 0 else flat[k])
+            counts = np.concatenate([_expand(c, np.int64) for _, c, *_ in blobs])
+            columns, counts = _rows_summed([np.concatenate(r) for r in rows], counts)
+            del rows
+            key = chained(columns)
+            order = np.argsort(key)
+            layout.store.put(f"gram{m}-key-{part}", indexed(key[order]))
+            few = counts[order]
+            layout.store.put(f"gram{m}-count-{part}", np.minimum(few, 255).astype(np.uint8))
+            many = np.flatnonzero(few >= 255)
+            layout.store.put(f"gram{m}-many-{part}", np.stack([many, few[many]]).astype(np.int64))
+            out = {c: [int(x)] for c, x in zip(_COUNTED, (*((counts == k).sum() for k in (1, 2, 3, 4)), (counts >= 3).sum(), len(counts), counts.sum()), strict=True)}
+            yield _merged({"part": [-1 - part], "m": [m], **out})
+            if m == 1:
+                continue
+            seen, back = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
+            hot = layout.hot(list(v.counts(seen)[back].reshape(m - 1, -1)))
+            context = chained(columns[:-1])
+            names, sums = _context_sums(context[~hot], counts[~hot])
+            begins = np.unique(context[columns[m - 2] == start])
+            stored = (sums[:, 0] > 1) | np.isin(names, begins)
+            # A context that is not hot occurs no oftener than its rarest word, which 32 bits hold.
+            layout.store.put(f"context{m}-key-{part}", indexed(names[stored]))
+            layout.store.put(f"context{m}-sums-{part}", sums[stored].astype(np.uint32))
+            if hot.any():
+                names, sums = _context_sums(context[hot], counts[hot])
+                yield _merged({"part": -1 - (names >> np.uint64(44)).astype(np.int64), "m": [m] * len(names), "context": names.view(np.int64), "total": sums[:, 0], "t1": sums[:, 1], "t2": sums[:, 2], "up3": sums[:, 3]})
+            lower = _rows_summed(columns[1:], np.ones(len(counts), np.int64))
+            yield _merged(_packed(*lower, layout, v))
+
+    def _merged(columns: dict) -> pa.RecordBatch:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(_MERGED)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(columns["part"]), f.type) for f in arrow], schema=arrow)
+
+    return packed.repartition(layout.parts, "part").sortWithinPartitions("part").mapInArrow(run, _MERGED)
+
+
+def _write_hot(merged: DataFrame, layout: Layout, m: int) -> None:
+    """Write the sums of the hot contexts, dealt over as many files as there are parts."""
+    hot = merged.where((F.col("m") == m) & F.col("context").isNotNull()).groupBy("context").agg(*(F.sum(c).alias(c) for c in ("total", "t1", "t2", "up3")))
+    dealt = hot.withColumn("part", F.pmod("context", F.lit(layout.parts)).cast("int")).repartition(layout.parts, "part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for f, blobs in _grouped(batches, "words", "values"):
-            dense = np.zeros((sizes[f], 4), np.uint32)
-            for words, values in blobs:
-                at = np.cumsum(_expand(words, np.uint64), dtype=np.uint64).astype(np.int64) - layout.first[f]
-                dense[at] += _expand(values, np.uint32 if not len(at) else np.dtype((np.void, 16))).view(np.uint32).reshape(-1, 4)
-            for k, name in enumerate(("followed", "n1", "n2", "n3")):
-                layout.store.put(f"word-{name}-{f}", np.ascontiguousarray(dense[:, k]))
-            c = dense[:, 0]
-            out.append([*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum()), int(c.sum())])
-        names = ["t1", "t2", "t3", "t4", "t3up", "total"]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(6)], names=names)
-
-    rows = stats.where("part >= 0").select("part", "words", "values").repartition(max(1, len(sizes)), "part").sortWithinPartitions("part").mapInArrow(run, "t1 long, t2 long, t3 long, t4 long, t3up long, total long")
-    return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns)).first().asDict()
+        files = 0
+        for part, rows in _grouped(batches, "context", "total", "t1", "t2", "up3"):
+            table = np.array(rows, np.int64)
+            key = table[:, 0].view(np.uint64)
+            order = np.argsort(key)
+            layout.store.put(f"hot{m}-key-{part}", indexed(key[order]))
+            layout.store.put(f"hot{m}-sums-{part}", np.ascontiguousarray(table[order, 1:]))
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    dealt.mapInArrow(run, "files long").agg(F.sum("files")).first()
 
 
 def discounts(t1: int, t2: int, t3: int, t4: int) -> tuple[float, float, float]:
@@ -371,27 +497,34 @@ def discounts(t1: int, t2: int, t3: int, t4: int) -> tuple[float, float, float]:
     return tuple(d if 0 < d < k else 0.5 for k, d in enumerate(raw, 1))
 
 
-def train(texts: DataFrame, stages: Stages) -> Layout:
+def train(texts: DataFrame, stages: Stages, order: int = ORDER) -> Layout:
     """Count and write the model of the column ``text``."""
+    if order < 2:
+        raise ValueError("the order must be two or more")
     store = Store(fresh_path(texts.sparkSession, "lm"))
     counts = stages.write(count_words(texts))
     apart = ~F.col("h").isin(*(int(np.uint64(x).view(np.int64)) for x in (START,)))
     total = counts.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.when(apart, F.col("n"))), F.lit(0)).alias("tokens")).first()
     bits = max(0, int(np.ceil(np.log2(max(1, total["words"]) / WORDS_PER_FILE))))
     sizes = _write_words(counts, store, bits)
+    stages.drop(counts)
     first = np.cumsum([0] + [sizes.get(f, 0) for f in range((1 << bits) - 1)]).tolist()
-    layout = Layout(store, bits, first, max(1, -(-total["tokens"] // TOKENS_PER_PART)), total["tokens"])
+    layout = Layout(store, bits, first, max(1, -(-total["tokens"] // TOKENS_PER_PART)), total["tokens"], order)
     layout.words = total["words"]
-    if layout.words >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
-    stats = stages.write(_merge_bigrams(_packed_bigrams(texts, layout), layout))
-    t = stats.where("part < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t1", "t2", "t3", "t4", "types"))).first()
-    low = _write_stats(stats, layout)
-    layout.types = t["types"]
-    layout.discounts = discounts(t["t1"], t["t2"], t["t3"], t["t4"])
-    layout.lower_discounts = d = discounts(low["t1"], low["t2"], low["t3"], low["t4"])
-    layout.lower_mass = (d[0] * low["t1"] + d[1] * low["t2"] + d[2] * low["t3up"]) / low["total"] if low["total"] else 1.0
-    stages.drop(counts, stats)
+    rows = _packed_tokens(texts, layout)
+    for m in range(order, 0, -1):
+        rows = _merge(rows, layout, m)
+    merged = stages.write(rows.select("m", "context", *_COUNTED))
+    counted = {r["m"]: r for r in merged.where("context is null").groupBy("m").agg(*(F.sum(c).alias(c) for c in _COUNTED)).collect()}  # a row per order
+    for m in range(1, order + 1):
+        t = counted[m].asDict() if m in counted else dict.fromkeys(_COUNTED, 0)
+        layout.discounts[m] = d = discounts(t["t1"], t["t2"], t["t3"], t["t4"])
+        if m > 1:
+            _write_hot(merged, layout, m)
+        else:
+            layout.types = t["total"]
+            layout.lower_mass = (d[0] * t["t1"] + d[1] * t["t2"] + d[2] * t["up3"]) / t["total"] if t["total"] else 1.0
+    stages.drop(merged)
     return layout
 
 
@@ -401,23 +534,38 @@ class Scorer:
     def __init__(self, layout: Layout):
         self.layout, self.v = layout, layout.vocabulary()
         self.start, self.end = self.v.number(START), self.v.number(END)
-        self.stats = {name: [layout.store.get(f"word-{name}-{f}", np.uint32) for f in range(1 << layout.bits)] for name in ("followed", "n1", "n2", "n3")} if layout.types else {}
-        self.pairs = [(layout.store.get(f"pair-key-{p}", np.uint64), layout.store.get(f"pair-count-{p}", np.uint32)) for p in range(layout.parts)]
-
-    def _pair_counts(self, u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(u))
-        known = np.flatnonzero((u >= 0) & (w >= 0))
-        key = u[known].astype(np.uint64) << np.uint64(32) | w[known].astype(np.uint64)
-        key, where, back = np.unique(key, return_index=True, return_inverse=True)
-        part = _part_of(u[known][where], key, hot[known][where], self.layout.parts)
-        found = np.zeros(len(key))
-        for p in np.unique(part):
-            at = np.flatnonzero(part == p)
-            keys, counts = self.pairs[p]
-            if len(keys):
-                k = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-                found[at] = np.where(keys[k] == key[at], counts[k], 0)
-        out[known] = found[back]
+        self.keys, self.small, self.few, self.sums = (Opened(layout.store, t) for t in (np.uint32, np.uint8, np.uint32, np.int64))
+
+    def _find(self, kind: str, key: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(part, places in ``key``, places in the part's array) of the keys that are found."""
+        order = np.argsort(part, kind="stable")
+        sorted_part = part[order]
+        cuts = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]]) if len(part) else np.empty(0, np.int64)
+        for a, b in zip(cuts, np.r_[cuts[1:], len(part)][: len(cuts)], strict=True):
+            p, at = int(sorted_part[a]), order[a:b]
+            if len(known := self.keys[f"{kind}-key-{p}"]):
+                k = find(known, key[at])
+                yield p, at[k >= 0], k[k >= 0]
+
+    def _grams(self, m: int, key: np.ndarray, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """The counts of distinct n-grams."""
+        out = np.zeros(len(key), np.int64)
+        for p, at, k in self._find(f"gram{m}", key, _part(context, key, hot, self.layout.parts)):
+            got = self.small[f"gram{m}-count-{p}"][k].astype(np.int64)
+            if (got == 255).any():
+                place, count = self.sums[f"gram{m}-many-{p}"].reshape(2, -1)
+                got[got == 255] = count[np.searchsorted(place, k[got == 255])]
+            out[at] = got
+        return out
+
+    def _contexts(self, m: int, key: np.ndarray, hot: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """total, n1, n2 and n3 in columns; ``known``: the context is an n-gram that something follows."""
+        out = np.zeros((len(key), 4), np.int64)
+        out[known, :2] = 1
+        spread = np.where(hot, np.mod(key.view(np.int64), self.layout.parts), _part(key, key, hot, self.layout.parts))
+        for kind, side, files in ((f"context{m}", np.flatnonzero(~hot), self.few), (f"hot{m}", np.flatnonzero(hot), self.sums)):
+            for p, at, k in self._find(kind, key[side], spread[side]):
+                out[side[at]] = files[f"{kind}-sums-{p}"].reshape(-1, 4)[k]
         return out
 
     @staticmethod
@@ -427,23 +575,48 @@ class Scorer:
     def __call__(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         lay = self.layout
         words = [words_of(t) for t in texts]
-        u, w = _pairs(self.v.of_texts(words), self.start, self.end)
-        starts = np.cumsum([0] + [len(t) + 1 for t in words[:-1]])
-        seen, back = np.unique(np.r_[u, w], return_inverse=True)
-        of_u, of_w = back[: len(u)], back[len(u) :]
-        count = self.v.take(self.v.counts, seen)
-        stat = {k: self.v.take(f, seen) for k, f in self.stats.items()} or {k: np.zeros(len(seen)) for k in ("followed", "n1", "n2", "n3")}
+        columns = _columns(self.v.of_texts(words), self.start, self.end, lay.order)
+        seen, back = np.unique(np.concatenate(columns), return_inverse=True)
+        of = self.v.counts(seen)
+        count = of[back].reshape(lay.order, -1)
+        w = columns[-1]
         vocabulary = max(0, lay.words - 1)  # without START
-        lower = lay.lower_mass / (vocabulary + 1) + (self._discounted(stat["followed"], lay.lower_discounts) / lay.types if lay.types else np.zeros(len(seen)))
-        d = lay.discounts
-        context = np.where(seen == self.end, 0, count)
-        spare = np.divide(d[0] * stat["n1"] + d[1] * stat["n2"] + d[2] * stat["n3"], context, out=np.ones(len(seen)), where=context > 0)
-        c = self._pair_counts(u, w, count[of_u] > lay.hot)
-        total = context[of_u]
-        p = np.divide(self._discounted(c, d), total, out=np.zeros(len(u)), where=total > 0) + spare[of_u] * lower[of_w]
-        n = count[of_w]
+        # Distinct n-grams of the highest order, by which those of all lower orders follow.
+        p, before = None, None
+        for m in range(1, lay.order + 1):
+            own, counts = columns[lay.order - m :], count[lay.order - m :]
+            key, where, at = np.unique(chained(own), return_index=True, return_inverse=True)
+            own, counts = [c[where] for c in own], [c[where] for c in counts]
+            real = np.logical_and.reduce([c >= 0 for c in own])
+            hot = lay.hot(counts[:-1]) if m > 1 else np.ones(len(key), bool)
+            context = chained(own[:-1]) if m > 1 else key
+            c = np.where(real, self._grams(m, key, context, hot), 0)
+            if m == 1:
+                p = (lay.lower_mass / (vocabulary + 1) + (self._discounted(c, lay.discounts[1]) / lay.types if lay.types else np.zeros(len(key))))[at]
+            else:
+                # A context is followed by something if it is an n-gram itself and does not end its text.
+                names, first, same = np.unique(context, return_index=True, return_inverse=True)
+                back_to = [x[first] for x in own[:-1]]
+                here = np.searchsorted(before[0], chained(back_to)) if len(before[0]) else np.zeros(len(first), np.int64)
+                here = np.minimum(here, max(len(before[0]) - 1, 0))
+                lookup = np.zeros(len(first), np.int64)
+                inside = before[0][here] == chained(back_to) if len(before[0]) else np.zeros(len(first), bool)
+                lookup[inside] = before[1][here[inside]]
+                rest = np.flatnonzero(~inside)  # contexts that end before a text's last word are n-grams of this batch, but for start marks
+                known = (lookup > 0) & (back_to[-1] != self.end)
+                known[rest] = False
+                sums = self._contexts(m, names, lay.hot([x[first] for x in counts[:-1]]), known)
+                sums[~np.logical_and.reduce([x >= 0 for x in back_to])] = 0
+                d = lay.discounts[m]
+                total = sums[:, 0]
+                spare = np.divide(sums[:, 1:] @ np.array(d), total, out=np.ones(len(names)), where=total > 0)
+                share = np.divide(self._discounted(c, d), total[same], out=np.zeros(len(key)), where=total[same] > 0)
+                p = share[at] + spare[same][at] * p
+            before = (key, c)
+        n = count[-1]
         base = np.log10((n + 0.5) / (lay.tokens + 0.5 * (vocabulary + 1)))
         size = np.array([len(t) + 1 for t in words], np.int64)
+        starts = np.cumsum(size) - size
         return {"n_tokens": size, "n_known": np.add.reduceat((n > 0).astype(np.int64), starts), "train_tokens": np.full(len(size), lay.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)}
 
 

@@ -4,7 +4,6 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
-from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -373,43 +372,55 @@ def test_language_on_held_out_texts(spark):
 # Language model
 
 
-def kneser_ney(train, texts):
-    c, bi = Counter(), Counter()
-    for t in train:
-        w = [*(t or "").lower().split(), "\n"]
-        c.update(w)
-        bi.update(pairwise(["\ns", *w]))
-    k = Counter(bi.values())
-    d = ngram_lm.discounts(k[1], k[2], k[3], k[4])
-    follows = Counter(w for _, w in bi)
-    k = Counter(follows.values())
-    low = ngram_lm.discounts(k[1], k[2], k[3], k[4])
-    context, types = {**{w: n for w, n in c.items() if w != "\n"}, "\ns": len(train)}, sum(follows.values())
-    mass = sum(low[min(n, 3) - 1] for n in follows.values()) / types
-    spare = Counter()
-    for (u, _), n in bi.items():
-        spare[u] += d[min(n, 3) - 1]
-    out = []
-    for t in texts:
-        total = 0.0
-        for u, w in pairwise(["\ns", *(t or "").lower().split(), "\n"]):
-            lower = (follows[w] - low[min(follows[w], 3) - 1] if follows[w] else 0) / types + mass / (len(c) + 1)
-            n, cu = bi[u, w], context.get(u, 0)
-            total += np.log10((n - d[min(n, 3) - 1] if n else 0) / cu + spare[u] / cu * lower if cu else lower)
-        out.append(total)
-    return out
-
-
-@pytest.mark.parametrize("per_part,per_file", [(3_000_000, 1 << 20), (40, 16)])
-def test_model_equals_brute_force(spark, monkeypatch, per_part, per_file):
+def kneser_ney(train, texts, order):
+    tokens = lambda t: ["\ns"] * (order - 1) + (t or "").lower().split() + ["\n"]
+    grams = lambda w: [tuple(w[i : i + order]) for i in range(len(w) - order + 1)]
+    levels = {order: Counter(g for t in train for g in grams(tokens(t)))}
+    for m in range(order - 1, 0, -1):
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
+    d, total, spare = {}, {}, {}
+    for m, c in levels.items():
+        k = Counter(c.values())
+        d[m], total[m], spare[m] = ngram_lm.discounts(k[1], k[2], k[3], k[4]), Counter(), Counter()
+        for g, n in c.items():
+            total[m][g[:-1]] += n
+            spare[m][g[:-1]] += d[m][min(n, 3) - 1]
+    size = len({w for t in train for w in (t or "").lower().split()}) + 1 + 1
+
+    def p(g):
+        if not g:
+            return 1 / size
+        m, n, all_of = len(g), levels[len(g)][g], total[len(g)][g[:-1]]
+        lower = p(g[1:])
+        return (n - d[m][min(n, 3) - 1] if n else 0) / all_of + spare[m][g[:-1]] / all_of * lower if all_of else lower
+
+    return [sum(np.log10(p(g)) for g in grams(tokens(t))) for t in texts]
+
+
+@pytest.mark.parametrize("order,per_part,per_file", [(2, 3_000_000, 1 << 20), (2, 40, 16), (3, 40, 16), (3, 3_000_000, 1 << 20), (4, 90, 1 << 20)])
+def test_model_equals_brute_force(spark, monkeypatch, order, per_part, per_file):
     monkeypatch.setattr(ngram_lm, "WORDS_PER_FILE", per_file)
+    monkeypatch.setattr(ngram_lm, "TOKENS_PER_PART", per_part)
     r = random.Random(2)
-    train = [words(r, r.randrange(12), 4) for _ in range(40)]
-    texts = [*train[:5], words(r, 9, 6), "unseen words", None, ""]
-    layout = ngram_lm.train(docs(spark, train).select("text"), Stages(spark, "t"))
+    train = [words(r, r.randrange(12), 4) for _ in range(40)] + ["a0 " * 700 + "b0 a0 c0"]
+    texts = [*train[:5], words(r, 9, 6), "unseen words", None, "", train[-1], "a0 " * 300 + "d0 b0 a0"]
+    layout = ngram_lm.train(docs(spark, train).select("text"), Stages(spark, "t"), order)
     got = ngram_lm.score(docs(spark, texts), layout).orderBy("doc_id").collect()
-    assert np.allclose([x["score"] for x in got], kneser_ney(train, texts), rtol=1e-9)
+    assert np.allclose([x["score"] for x in got], kneser_ney(train, texts, order), rtol=1e-9)
     assert [x["n_tokens"] for x in got] == [len((t or "").split()) + 1 for t in texts]
+    c = Counter(w for t in train for w in [*t.split(), "\n"])
+    n, v = sum(c.values()), len(c)
+    toks = [[*(t or "").split(), "\n"] for t in texts]
+    assert [x["train_tokens"] for x in got] == [n] * len(texts) and [x["n_known"] for x in got] == [sum(w in c for w in t) for t in toks]
+    assert np.allclose([x["base_score"] for x in got], [sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for t in toks])
+
+
+def test_indexed_hashes_are_found():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 7, 8, 9, 1000, 70_000):
+        key = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        index = ngram_lm.indexed(key)
+        assert (ngram_lm.find(index, key) == np.arange(n)).all() and (ngram_lm.find(index, key + np.uint64(1 << 40)) == -1).all()
 
 
 def test_model_without_text(spark):
