@@ -1,6 +1,7 @@
 """Text-corpus operators leave out no pair, row or turn."""
 
 from quern.llm import chat, decontaminate, near_dedup
+from quern.staging import Stages
 
 
 def test_low_bytes_alone_are_no_shared_band(spark):
@@ -37,3 +38,28 @@ def test_further_pairs_of_two_components_are_announced(spark):
     got = [tuple(r) for r in near_dedup._search(crowded, 10, 85, 2).collect()]
     assert len([g for g in got if not g[2]]) == 2 and (None, None, True) in got
     assert len(near_dedup._search(crowded, 10, 85, 9).collect()) == 9
+
+
+def test_pipeline_judges_rows_whatever_their_ids(spark, tmp_path):
+    """Repeated and null ids, equal rows, null and long texts, columns that clash with inner names."""
+    import corpus_pipeline
+
+    say = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, say("a")), (5, say("a")), (5, say("b")), (None, say("a")), (None, say("c")), (7, say("d")), (7, say("d")), (8, None), (9, ""), (10, say("e", 60_000))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, row int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, say("c"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages, seen = Stages(spark, "t"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stages.write(stage(spark, df, str(tmp_path)))
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "row"]
+        seen.append(sorted(str((r["doc_id"], r["text"][:2])) for r in df.collect()))
+    assert len(seen[0]) == len(seen[1]) == 8
+    assert seen[2] == sorted(map(str, [(1, "a0"), (5, "b0"), (None, "c0"), (7, "d0"), (10, "e0")]))
+    assert seen[3] == sorted(map(str, [(1, "a0"), (5, "b0"), (7, "d0"), (10, "e0")]))
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {1, 5, 7, 10}
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty_out = stage(spark, empty, str(tmp_path))
+        assert empty_out.count() == 0
