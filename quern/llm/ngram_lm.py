@@ -32,7 +32,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -59,7 +59,7 @@ SCORES = T.StructType(
 #: The order of the model, of two or more.
 ORDER = 3
 #: Words of a file of hashes, tokens of a part, tokens counted before a worker packs them, words remembered and files opened by a worker.
-WORDS_PER_FILE, TOKENS_PER_PART, PACK_TOKENS, MEMO, OPEN = 1 << 20, 2_000_000, 3_000_000, 400_000, 4096
+WORDS_PER_FILE, TOKENS_PER_PART, PACK_TOKENS, MEMO, OPEN = 1 << 20, 2_000_000, 1_500_000, 400_000, 4096
 #: No word holds a line break, so these hashes belong to no word.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -171,11 +171,16 @@ class Vocabulary:
         """Numbers of the words of each text."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        if new := list(set().union(*texts) - self.memo.keys()):
+        get, fresh = self.memo.get, repeat(-2)
+        out = [np.fromiter(map(get, t, fresh), np.int64, len(t)) for t in texts]
+        gaps = [(t, o, np.flatnonzero(o == -2).tolist()) for t, o in zip(texts, out, strict=True)]
+        if new := list({t[i] for t, _, at in gaps for i in at}):
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
             self.memo.update(zip(new, self.numbers(h).tolist(), strict=True))
-        get = self.memo.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+        for t, o, at in gaps:
+            if at:
+                o[at] = [self.memo[t[i]] for i in at]
+        return out
 
     def counts(self, number: np.ndarray) -> np.ndarray:
         """The words' counts; 0 where a number is negative."""
@@ -243,16 +248,24 @@ def _expand(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def _rows_summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct rows with their summed counts."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    starts = np.flatnonzero(new)
-    return [c[starts] for c in columns], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+def _sorted_by(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The order by part, then key."""
+    order = np.argsort(key)
+    return order[np.argsort(part[order].astype(np.uint16) if len(part) and part.max() < 1 << 16 else part[order], kind="stable")]
+
+
+def _rows_summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted distinct hashes of rows, the rows, and their summed counts (of one each if not given)."""
+    key = chained(columns)
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    first = order[starts]
+    if counts is None:
+        summed = np.diff(np.r_[starts, len(key)])
+    else:
+        summed = np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+    return key[starts], [c[first] for c in columns], summed
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -360,16 +373,15 @@ def _columns(texts: list[np.ndarray], start: int, end: int, order: int) -> list[
 PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
-def _packed(columns: list[np.ndarray], counts: np.ndarray, layout: Layout, v: Vocabulary) -> dict:
-    """PACKED columns for sorted rows of words."""
-    context = chained(columns[:-1])
+def _packed(key: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, layout: Layout, v: Vocabulary) -> dict:
+    """PACKED columns for distinct rows of words with their hashes."""
     if len(columns) > 1:
         seen, back = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
         hot = layout.hot(list(v.counts(seen)[back].reshape(len(columns) - 1, -1)))
-        part = _part(context, chained(columns), hot, layout.parts)
+        part = _part(chained(columns[:-1]), key, hot, layout.parts)
     else:
-        part = _part(chained(columns), chained(columns), np.ones(len(counts), bool), layout.parts)
-    order = np.argsort(part, kind="stable")
+        part = _part(key, key, np.ones(len(key), bool), layout.parts)
+    order = _sorted_by(columns[0], part)
     part, columns, counts = part[order], [c[order] for c in columns], counts[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
     ends = np.r_[cuts[1:], len(part)][: len(cuts)]
@@ -388,14 +400,15 @@ def _packed_tokens(texts: DataFrame, layout: Layout) -> DataFrame:
 
         def flush() -> dict:
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return _packed(*_rows_summed(rows, np.ones(len(rows[0]), np.int64)), layout, v)
+            held.clear()
+            return _packed(*_rows_summed(rows), layout, v)
 
         for part in parts:
             held.append(_columns(v.of_texts([words_of(t) for t in as_bytes(part.column("text"))]), start, end, layout.order))
             n += len(held[-1][0])
             if n >= PACK_TOKENS:
                 yield flush()
-                held, n = [], 0
+                n = 0
         if held:
             yield flush()
 
@@ -411,7 +424,7 @@ _MERGED = T.StructType([*PACKED.fields, T.StructField("m", T.IntegerType()), T.S
 
 def _context_sums(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct contexts with total, n1, n2 and n3 (or more) in columns."""
-    order = np.argsort(context, kind="stable")
+    order = np.argsort(context)
     context, counts = context[order], counts[order]
     starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.empty(0, np.int64)
     each = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
@@ -434,15 +447,12 @@ def _merge(packed: DataFrame, layout: Layout, m: int) -> DataFrame:
                 for k in range(m):
                     rows[k].append(np.cumsum(flat[0]) if k == 0 else flat[k])
             counts = np.concatenate([_expand(c, np.int64) for _, c, *_ in blobs])
-            columns, counts = _rows_summed([np.concatenate(r) for r in rows], counts)
+            key, columns, counts = _rows_summed([np.concatenate(r) for r in rows], counts)
             del rows
-            key = chained(columns)
-            order = np.argsort(key)
-            layout.store.put(f"gram{m}-key-{part}", indexed(key[order]))
-            few = counts[order]
-            layout.store.put(f"gram{m}-count-{part}", np.minimum(few, 255).astype(np.uint8))
-            many = np.flatnonzero(few >= 255)
-            layout.store.put(f"gram{m}-many-{part}", np.stack([many, few[many]]).astype(np.int64))
+            layout.store.put(f"gram{m}-key-{part}", indexed(key))
+            layout.store.put(f"gram{m}-count-{part}", np.minimum(counts, 255).astype(np.uint8))
+            many = np.flatnonzero(counts >= 255)
+            layout.store.put(f"gram{m}-many-{part}", np.stack([many, counts[many]]).astype(np.int64))
             out = {c: [int(x)] for c, x in zip(_COUNTED, (*((counts == k).sum() for k in (1, 2, 3, 4)), (counts >= 3).sum(), len(counts), counts.sum()), strict=True)}
             yield _merged({"part": [-1 - part], "m": [m], **out})
             if m == 1:
@@ -459,8 +469,7 @@ def _merge(packed: DataFrame, layout: Layout, m: int) -> DataFrame:
             if hot.any():
                 names, sums = _context_sums(context[hot], counts[hot])
                 yield _merged({"part": -1 - (names >> np.uint64(44)).astype(np.int64), "m": [m] * len(names), "context": names.view(np.int64), "total": sums[:, 0], "t1": sums[:, 1], "t2": sums[:, 2], "up3": sums[:, 3]})
-            lower = _rows_summed(columns[1:], np.ones(len(counts), np.int64))
-            yield _merged(_packed(*lower, layout, v))
+            yield _merged(_packed(*_rows_summed(columns[1:]), layout, v))
 
     def _merged(columns: dict) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -537,8 +546,8 @@ class Scorer:
         self.keys, self.small, self.few, self.sums = (Opened(layout.store, t) for t in (np.uint32, np.uint8, np.uint32, np.int64))
 
     def _find(self, kind: str, key: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(part, places in ``key``, places in the part's array) of the keys that are found."""
-        order = np.argsort(part, kind="stable")
+        """(part, places in ``key``, places in the part's array) of the keys that are found; sorted keys are found fastest."""
+        order = _sorted_by(key, part)
         sorted_part = part[order]
         cuts = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]]) if len(part) else np.empty(0, np.int64)
         for a, b in zip(cuts, np.r_[cuts[1:], len(part)][: len(cuts)], strict=True):
@@ -548,7 +557,7 @@ class Scorer:
                 yield p, at[k >= 0], k[k >= 0]
 
     def _grams(self, m: int, key: np.ndarray, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """The counts of distinct n-grams."""
+        """The counts of n-grams."""
         out = np.zeros(len(key), np.int64)
         for p, at, k in self._find(f"gram{m}", key, _part(context, key, hot, self.layout.parts)):
             got = self.small[f"gram{m}-count-{p}"][k].astype(np.int64)
@@ -576,47 +585,35 @@ class Scorer:
         lay = self.layout
         words = [words_of(t) for t in texts]
         columns = _columns(self.v.of_texts(words), self.start, self.end, lay.order)
-        seen, back = np.unique(np.concatenate(columns), return_inverse=True)
-        of = self.v.counts(seen)
-        count = of[back].reshape(lay.order, -1)
-        w = columns[-1]
+        size = np.array([len(t) + 1 for t in words], np.int64)
+        starts = np.cumsum(size) - size
+        seen, back = np.unique(columns[-1], return_inverse=True)
+        many = self.v.counts(np.r_[seen, self.start])
+        count = [np.where(c == self.start, many[-1], 0) for c in columns[:-1]] + [many[back]]
+        for k in range(lay.order - 1):  # the word that stands so far back, but for start marks
+            ahead = lay.order - 1 - k
+            count[k][ahead:] = np.where(columns[k][ahead:] == self.start, many[-1], count[-1][:-ahead])
         vocabulary = max(0, lay.words - 1)  # without START
-        # Distinct n-grams of the highest order, by which those of all lower orders follow.
-        p, before = None, None
-        for m in range(1, lay.order + 1):
+        key = chained([seen])
+        c = np.where(seen >= 0, self._grams(1, key, key, np.ones(len(key), bool)), 0)
+        p = (lay.lower_mass / (vocabulary + 1) + (self._discounted(c, lay.discounts[1]) / lay.types if lay.types else np.zeros(len(key))))[back]
+        c, context = c[back], None
+        for m in range(2, lay.order + 1):
             own, counts = columns[lay.order - m :], count[lay.order - m :]
-            key, where, at = np.unique(chained(own), return_index=True, return_inverse=True)
-            own, counts = [c[where] for c in own], [c[where] for c in counts]
-            real = np.logical_and.reduce([c >= 0 for c in own])
-            hot = lay.hot(counts[:-1]) if m > 1 else np.ones(len(key), bool)
-            context = chained(own[:-1]) if m > 1 else key
-            c = np.where(real, self._grams(m, key, context, hot), 0)
-            if m == 1:
-                p = (lay.lower_mass / (vocabulary + 1) + (self._discounted(c, lay.discounts[1]) / lay.types if lay.types else np.zeros(len(key))))[at]
-            else:
-                # A context is followed by something if it is an n-gram itself and does not end its text.
-                names, first, same = np.unique(context, return_index=True, return_inverse=True)
-                back_to = [x[first] for x in own[:-1]]
-                here = np.searchsorted(before[0], chained(back_to)) if len(before[0]) else np.zeros(len(first), np.int64)
-                here = np.minimum(here, max(len(before[0]) - 1, 0))
-                lookup = np.zeros(len(first), np.int64)
-                inside = before[0][here] == chained(back_to) if len(before[0]) else np.zeros(len(first), bool)
-                lookup[inside] = before[1][here[inside]]
-                rest = np.flatnonzero(~inside)  # contexts that end before a text's last word are n-grams of this batch, but for start marks
-                known = (lookup > 0) & (back_to[-1] != self.end)
-                known[rest] = False
-                sums = self._contexts(m, names, lay.hot([x[first] for x in counts[:-1]]), known)
-                sums[~np.logical_and.reduce([x >= 0 for x in back_to])] = 0
-                d = lay.discounts[m]
-                total = sums[:, 0]
-                spare = np.divide(sums[:, 1:] @ np.array(d), total, out=np.ones(len(names)), where=total > 0)
-                share = np.divide(self._discounted(c, d), total[same], out=np.zeros(len(key)), where=total[same] > 0)
-                p = share[at] + spare[same][at] * p
-            before = (key, c)
+            context = chained(own[:-1])
+            real = np.logical_and.reduce([x >= 0 for x in own])
+            known = np.r_[False, c[:-1] > 0]  # the context is the shorter n-gram of the token before, which something follows
+            known[starts] = False
+            hot = lay.hot(counts[:-1])
+            sums = self._contexts(m, context, hot, known)
+            sums[~np.logical_and.reduce([x >= 0 for x in own[:-1]])] = 0
+            c = np.where(real, self._grams(m, chained(own), context, hot), 0)
+            d = lay.discounts[m]
+            total = sums[:, 0]
+            spare = np.divide(sums[:, 1:] @ np.array(d), total, out=np.ones(len(total)), where=total > 0)
+            p = np.divide(self._discounted(c, d), total, out=np.zeros(len(total)), where=total > 0) + spare * p
         n = count[-1]
         base = np.log10((n + 0.5) / (lay.tokens + 0.5 * (vocabulary + 1)))
-        size = np.array([len(t) + 1 for t in words], np.int64)
-        starts = np.cumsum(size) - size
         return {"n_tokens": size, "n_known": np.add.reduceat((n > 0).astype(np.int64), starts), "train_tokens": np.full(len(size), lay.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)}
 
 
