@@ -215,7 +215,8 @@ def _documents_with(rows: DataFrame, terms: DataFrame, prefixes: bool = False) -
         yield {"term": list(counts), "n": list(counts.values())}
 
     seen = map_slices(rows.select("text"), work, T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]))
-    return seen.groupBy("term").agg(F.sum("n").alias("documents")).join(terms, "term", "left_semi")
+    counted = seen.groupBy("term").agg(F.sum("n").alias("documents"))
+    return counted if only is not None else counted.join(terms, "term", "left_semi")
 
 
 def disclosing_terms(found: DataFrame, rows: DataFrame, stages: Stages, generalise: float = GENERALISE, error: float = ERROR, min_origins: int = MIN_ORIGINS) -> DataFrame:
@@ -227,15 +228,17 @@ def disclosing_terms(found: DataFrame, rows: DataFrame, stages: Stages, generali
     n = float(max(found.count(), 1))
     some = found.where(F.size("classes") > 0)
     classes = stages.write(some.select("origin", F.explode("classes").alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("with_class"), F.count_distinct("origin").alias("origins")).where(F.col("origins") >= min_origins).select("class", "with_class"))
-    words = some.select("row", "origin", F.explode("terms.term").alias("term"))
+    words = some.select("row", F.explode("terms.term").alias("term"))
     often = stages.write(words.groupBy("term").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= min_origins))
     least = ((classes.agg(F.min("with_class")).first()[0] or 1) / n) ** (1 - generalise)
-    of_term = stages.write(_documents_with(rows, often.select("term")).join(often, "term").where(F.col("held") >= F.lit(least) * F.col("documents")).select("term", "documents"))
-    of_row = some.select("row", F.explode("classes").alias("class")).join(classes.select("class"), "class").distinct()
-    seen = words.join(of_term.select("term"), "term").join(of_row, "row")
+    # A term discloses at most held / documents of its rows to a class, so classes above this bar can't reach ``generalise``.
+    bar = F.lit(n) * F.pow(F.col("held") / F.col("documents"), F.lit(1 / (1 - generalise))) * F.lit(1 + 1e-9) if generalise < 1 else F.when(F.col("held") >= F.col("documents"), F.lit(n)).otherwise(F.lit(0.0))
+    of_term = stages.write(_documents_with(rows, often.select("term")).join(often, "term").where(F.col("held") >= F.lit(least) * F.col("documents")).select("term", "documents", bar.alias("bar")))
+    of_row = some.select("row", "origin", F.explode("classes").alias("class")).join(classes, "class").distinct()
+    seen = words.join(of_term.select("term", "bar"), "term").join(of_row, "row").where(F.col("with_class") <= F.col("bar"))
     together = stages.write(seen.groupBy("class", "term").agg(F.count(F.lit(1)).alias("co"), F.count_distinct("origin").alias("origins")).where(F.col("origins") >= min_origins))
     tests = max(together.count(), 1)
-    counted = together.join(of_term, "term").join(classes, "class")
+    counted = together.join(of_term.drop("bar"), "term").join(classes, "class")
     bits = F.log2(F.lit(n) / F.col("with_class"))
     pmi = F.log2(F.col("co") * F.lit(n) / (F.col("documents") * F.col("with_class")))
     expected = F.col("documents") * F.col("with_class") / F.lit(n)
