@@ -9,7 +9,7 @@ Links are found without emitting the pairs of a bucket. First every class is com
 of its buckets, its most central class, which joins the bulk of any group of near copies. Then only buckets whose classes still lie in
 different components are searched, in blocks inside a worker, by signatures: of the pairs of two components that agree on
 enough coordinates the most alike are handed on, once for all buckets, and confirmed; where there are more, another
-round follows with eight times as many, until each pair of components is joined or all its pairs are compared. Every
+round follows with 64 times as many, until each pair of components is joined or all its pairs are compared. Every
 link is confirmed on full sets; texts move only to be confirmed. A pair at the threshold escapes all bands with
 probability 2e-6 (3e-6 for ``AT_80``) and the signature test with 3e-7; dissimilar pairs are never linked.
 
@@ -50,7 +50,7 @@ WIDTH, AT_85, AT_80 = 5, (6, 28), (5, 32)
 #: Standard deviations below the expected agreement of a pair at the threshold from which a pair is not confirmed.
 DEVIATIONS = 5.0
 #: Classes of a block when a bucket is searched, about, and pairs of two components that a block hands on in the first round.
-BLOCK, FIRST_PAIRS = 2048, 8
+BLOCK, FIRST_PAIRS = 2048, 64
 #: Pairs with one hub that one group confirms, shingles hashed at once, words remembered.
 HUB_PAIRS, CHUNK, MEMO = 256, 1 << 16, 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -270,7 +270,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = A
             joined = connected_components(stages.write(links), stages)
         if handed.where("more").limit(1).count() == 0:
             break
-        most *= 8
+        most *= 64
     labelled = classes.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = labelled.join(smallest, "component").select("node", "component_id")
