@@ -7,10 +7,12 @@ kept. Documents of equal sets are one class. Classes share a band bucket if some
 
 Links are found without emitting the pairs of a bucket. First every class is compared with the hub of each
 of its buckets, its most central class, which joins the bulk of any group of near copies. Then only buckets whose classes still lie in
-different components are searched, in blocks inside a worker, by signatures: of the pairs of two components that agree on
-enough coordinates the most alike are handed on, once for all buckets, and confirmed; where there are more, another
-round follows with 64 times as many, until each pair of components is joined or all its pairs are compared. Every
-link is confirmed on full sets; texts move only to be confirmed. A pair at the threshold escapes all bands with
+different components are searched, in blocks that a worker holds with their texts: pairs of two components that agree on
+enough coordinates are compared on full sets there, until the components are joined or no pair is left, and only links that
+join two components leave the worker. So a bucket gives fewer rows than it has classes, however many of its pairs lie just
+below the threshold. Blocks are bounded in classes and in shingles. With ``hand_on`` texts stay out of the blocks: workers
+hand on the most alike pairs of two components by signatures alone, to be confirmed, in rounds of 64 times as many; that
+moves less where texts are long and few pairs lie just below the threshold. Both give the same components. A pair at the threshold escapes all bands with
 probability 2e-6 (3e-6 for ``AT_80``) and the signature test with 3e-7; dissimilar pairs are never linked.
 
 Nulls: a null text has no words; a document without words is linked with nothing. A null id is an id of no
@@ -51,6 +53,8 @@ WIDTH, AT_85, AT_80 = 5, (6, 28), (5, 32)
 DEVIATIONS = 5.0
 #: Classes of a block when a bucket is searched, about, and pairs of two components that a block hands on in the first round.
 BLOCK, FIRST_PAIRS = 2048, 64
+#: Shingles of a block that is held with its texts, about.
+BLOCK_SHINGLES = 1 << 21
 #: Pairs with one hub that one group confirms, shingles hashed at once, words remembered.
 HUB_PAIRS, CHUNK, MEMO = 256, 1 << 16, 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -222,13 +226,55 @@ def _search(crowded: DataFrame, least: int, percent: int, most: int) -> DataFram
     return meet.drop("other", "blocks").groupBy("bucket", "lo", "hi").applyInPandas(run, _HANDED)
 
 
+def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of a non-empty set with others."""
+    every = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    return np.add.reduceat(hit, np.cumsum([0] + [len(o) for o in others[:-1]]), dtype=np.int64)
+
+
+def _joining(crowded: DataFrame, least: int, percent: int) -> DataFrame:
+    """src, dst: links that join the components of each bucket as far as full sets allow, each joining two.
+
+    ``crowded``: bucket, band, node, component, n_shingles, bands, signature, text, block, blocks. Blocks of a bucket meet
+    in pairs, so a worker holds two of them. A pair is looked at in the first bucket that both share.
+    """
+    rounds = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = rounds.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, band = (int(group[c].iloc[0]) for c in ("lo", "hi", "band"))
+        group = group.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
+        node, size, block, text = (group[c].to_numpy() for c in ("node", "n_shingles", "block", "text"))
+        root = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        s, keys = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1), np.stack(group["bands"].to_list())
+        words, sets, found = _Words(), {}, []
+        for i in np.flatnonzero(block == lo) if lo != hi else range(len(group)):
+            j = np.flatnonzero(block == hi) if lo != hi else np.arange(i + 1, len(group))
+            j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            j = j[(s[j] == s[i]).sum(axis=1) >= least]
+            j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]  # else the pair met in the bucket of an earlier band
+            if len(j):
+                for k in (i, *j):
+                    if k not in sets:
+                        sets[k] = shingle_set(text[k].encode(), words)
+                common = _common(sets[i], [sets[k] for k in j])
+                for k in j[100 * common >= percent * (size[i] + size[j] - common)]:
+                    if root[k] != root[i]:
+                        found.append((node[i], node[k]))
+                        root[root == root[k]] = root[i]
+        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    return meet.drop("other", "blocks").groupBy("bucket", "lo", "hi").applyInPandas(run, "src long, dst long")
+
+
 def least_agreeing(percent: int, coordinates: int) -> int:
     """Agreeing coordinates, one byte each, that a pair at the threshold falls short of with negligible probability."""
     p = percent / 100
     return int(coordinates * p - DEVIATIONS * (coordinates * p * (1 - p)) ** 0.5)
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = AT_85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = AT_85, id_col: str = "doc_id", text_col: str = "text", hand_on: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept.
 
     Documents are linked if 100 * common shingles >= percent * united shingles.
@@ -258,8 +304,18 @@ def near_duplicates(df: DataFrame, percent: int = 85, shape: tuple[int, int] = A
     linked = (F.lit(100) * F.col("common") >= F.lit(percent) * F.col("united"))
     links = stages.write(confirm(pairs, texts, stages).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     joined = connected_components(links, stages)
+    if not hand_on:
+        split = shared.select("bucket", "band", "node", "n_shingles").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
+        sums = F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")
+        several = split.groupBy("bucket").agg(*sums).where("c0 <> c1 and members > 2").select("bucket", blocks.alias("blocks"))
+        held = classes.select("node", "bands", "signature").join(texts.dropDuplicates(["node"]), "node")
+        crowded = split.join(several, "bucket").join(held, "node").select("bucket", "band", "node", "component", "n_shingles", "bands", "signature", "text", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+        fresh = stages.write(_joining(crowded, least, percent))
+        if fresh.limit(1).count():
+            joined = connected_components(stages.write(links.unionByName(fresh)), stages)
     most = FIRST_PAIRS
-    while True:
+    while hand_on:
         split = shared.select("bucket", "band", "node", "n_shingles").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = split.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1 and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
         crowded = split.join(several, "bucket").join(classes.select("node", "bands", "signature"), "node").select("bucket", "band", "node", "component", "n_shingles", "bands", "signature", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")

@@ -63,3 +63,15 @@ def test_pipeline_judges_rows_whatever_their_ids(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, str(tmp_path))
         assert empty_out.count() == 0
+
+
+def test_blocks_give_fewer_links_than_classes(spark):
+    """Six classes alike and a seventh that agrees in its signature only: five links join the six, whatever the blocks."""
+    base = [f"w{k}" for k in range(59)]
+    texts = {n: " ".join([*base, f"end{n}"]) for n in range(1, 7)} | {7: " ".join(f"x{k}" for k in range(60))}
+    for blocks in (1, 3):
+        rows = [(7, 0, n, n, 56, [7], bytes([5] * 12), t, n % blocks, blocks) for n, t in texts.items()]
+        crowded = spark.createDataFrame(rows, "bucket long, band int, node long, component long, n_shingles long, bands array<long>, signature binary, text string, block long, blocks long")
+        got = [tuple(r) for r in near_dedup._joining(crowded, 10, 85).collect()]
+        assert {n for link in got for n in link} == set(range(1, 7))
+        assert blocks > 1 or len(got) == 5
