@@ -81,16 +81,22 @@ def _centres(spark, sets: dict[int, Summary]) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, dim int, mean double, std double")
 
 
+ROUNDS = "round int, ds_points long, cs_clusters long, cs_points long, rs_points long"
+
+
 def bfr(points: DataFrame, k: int, chunks: int = 5, seed: int = 11_111, gate: float = 2.0, merged_label: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rounds, assignments): round, ds_points, cs_clusters, cs_points, rs_points; and point_id, cluster.
 
     ``points``: point_id, features. Points of a compression set get the cluster it is merged into at the end, or -1
-    (always -1 without ``merged_label``); retained points get -1 too.
+    (always -1 without ``merged_label``); retained points get -1 too. An empty table gives empty results.
     """
     spark = points.sparkSession
     stages = Stages(spark, "bfr")
     rows = stages.write(points.select("point_id", "features").withColumn("chunk", F.pmod(F.xxhash64("point_id", F.lit(seed)), F.lit(chunks)).cast("int")))
-    dim = len(rows.select("features").first()[0])
+    one = rows.select("features").first()
+    if one is None:
+        return spark.createDataFrame([], ROUNDS), rows.select("point_id", F.lit(-1).alias("cluster"))
+    dim = len(one[0])
     limit = gate * math.sqrt(dim)
     ds: dict[int, Summary] = {}
     cs: dict[int, Summary] = {}
@@ -169,4 +175,4 @@ def bfr(points: DataFrame, k: int, chunks: int = 5, seed: int = 11_111, gate: fl
     of_cs = spark.createDataFrame(goal, "c int, goal int")
     named = every.where("kind = 'cs'").join(F.broadcast(of_cs), "c").select("point_id", F.col("goal").alias("cluster"))
     out = every.where("kind = 'ds'").select("point_id", F.col("c").alias("cluster")).unionByName(named).unionByName(retained.select("point_id", F.lit(-1).alias("cluster")))
-    return spark.createDataFrame(report, "round int, ds_points long, cs_clusters long, cs_points long, rs_points long"), out
+    return spark.createDataFrame(report, ROUNDS), out

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.operators import cluster, explore, graph, itemsets, recommend, similarity, sketches
 from quern.plans import views
-from quern.sources.readers import read_table
-from quern.sources.sinks import as_json
-from quern.staging import Stages
+from quern.sources.readers import indexed, read_csv, read_json_lines, read_table
+from quern.sources.sinks import as_json, itemset_report, write_csv, write_json
+from quern.staging import Stages, fresh_path
 from quern.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def left_outer_unmatched(spark, d):
     return explore.outer_lookup(read_table(spark, d, "customer").select("c_custkey"), orders, "c_custkey")
 
 
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NOT NULL")
+def left_outer_matched(spark, d):
+    return left_outer_unmatched(spark, d).where("o_orderkey IS NOT NULL")
+
+
 @query("SELECT user_id, round(avg(value + length(event_type)), 6) AS feedback_mean FROM events GROUP BY 1")
 def user_feedback_mean(spark, d):
     events = read_table(spark, d, "events").withColumn("n", F.length("event_type"))
@@ -108,6 +113,28 @@ def json_rows(spark, d):
     return as_json(joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n")))
 
 
+_CUSTOMERS = "c_custkey long, c_name string, c_nationkey int, c_acctbal double"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def json_lines_source(spark, d):
+    path = fresh_path(spark, "json")
+    write_json(read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path, one_file=False)
+    return read_json_lines(spark, path, _CUSTOMERS)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def csv_source(spark, d):
+    path = fresh_path(spark, "csv")
+    write_csv(read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path, one_file=False)
+    return read_csv(spark, path, _CUSTOMERS)
+
+
+@query("SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS position FROM (SELECT DISTINCT l_partkey FROM lineitem)")
+def dense_index(spark, d):
+    return indexed(read_table(spark, d, "lineitem"), "l_partkey")
+
+
 # Itemsets
 
 
@@ -180,6 +207,21 @@ def itemset_son(spark, d):
     return itemsets.shown(itemsets.son_itemsets(pairs, _support(pairs, 0.05), parts=4))
 
 
+@query(f"WITH each AS ({_ALL_EVENTS}) SELECT CAST(size AS INTEGER) AS size, string_agg('(' || chr(39) || replace(items, ',', chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY items) AS line FROM each GROUP BY 1")
+def itemset_lines(spark, d):
+    pairs = Stages(spark, "events").write(views.event_pairs(spark, d))
+    return itemset_report(itemsets.frequent_itemsets(pairs, _support(pairs, 0.05)))
+
+
+_RETAIL = f"rows AS ({ORACLE_SQL['retail_baskets']}), d AS (SELECT DISTINCT basket, item FROM rows), pairs AS (SELECT * FROM d WHERE basket IN (SELECT basket FROM d GROUP BY 1 HAVING count(*) > 2))"
+
+
+@query(f"WITH {_RETAIL} {_frequent(1, 0.002)} UNION ALL {_frequent(2, 0.002)}")
+def retail_itemsets(spark, d):
+    pairs = Stages(spark, "retail").write(itemsets.baskets(retail_baskets(spark, d), "basket", "item", larger_than=2))
+    return itemsets.shown(itemsets.frequent_itemsets(pairs, _support(pairs, 0.002), 2))
+
+
 # Similarity
 
 _JACCARD = f"""WITH {views.WORDS}, sets AS (SELECT id, string_agg(item, ' ' ORDER BY item) AS whole FROM words GROUP BY 1),
@@ -262,6 +304,20 @@ def hybrid_cf_predict(spark, d):
     return rounded(recommend.hybrid_cf(train, test), "prediction")
 
 
+@query(f"""WITH {views.RATINGS}, cf AS ({ORACLE_SQL['hybrid_cf_predict']}), means AS (SELECT item, avg(stars) AS prediction FROM train GROUP BY 1)
+SELECT "user", item, round(0.237 * cf.prediction + (1 - 0.237) * means.prediction, 9) AS prediction FROM cf JOIN means USING (item)""")
+def blend_predict(spark, d):
+    """The hybrid's blend with means of items in place of trees."""
+    train, test, _ = views.split_ratings(spark, d)
+    means = test.select("user", "item").join(train.groupBy("item").agg(F.avg("stars").alias("prediction")), "item")
+    return rounded(recommend.blend(hybrid_cf_predict(spark, d), means, alpha=0.237), "prediction", digits=9)
+
+
+@query(f"""WITH {views.RATINGS}, cf AS ({ORACLE_SQL['itemcf_predict']}) SELECT round(sqrt(avg(pow(prediction - stars, 2))), 6) AS rmse, count(*) AS n FROM cf JOIN ratings USING ("user", item)""")
+def itemcf_rmse(spark, d):
+    return rounded(recommend.rmse(itemcf_predict(spark, d), views.split_ratings(spark, d)[2]), "rmse")
+
+
 def _features(spark, d, pairs, feedback=False):
     items = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("item"), F.col("s_acctbal").alias("item_stars"), F.col("s_nationkey").cast("double").alias("item_count"))
     orders = read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user")).agg(F.avg("o_totalprice").alias("user_stars"), F.count(F.lit(1)).cast("double").alias("user_count"))

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, one_file: bool = True) -> None:
     """One JSON object per row."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:

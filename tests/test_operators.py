@@ -238,6 +238,11 @@ def test_bfr_places_every_point(spark):
     assert last["ds_points"] + last["cs_points"] + last["rs_points"] == 240
 
 
+def test_bfr_of_nothing(spark):
+    rounds, placed = cluster.bfr(spark.createDataFrame([], "point_id long, features array<double>"), 3)
+    assert rows(rounds) == [] and rows(placed, "point_id", "cluster") == []
+
+
 def test_reports(spark, tmp_path):
     sets = spark.createDataFrame([(["a"],), (["b"],), (["a", "b"],)], "items array<string>")
     assert [r["line"] for r in sinks.itemset_report(sets).collect()] == ["('a'),('b')", "('a', 'b')"]
