@@ -305,12 +305,12 @@ def hybrid_cf_predict(spark, d):
 
 
 @query(f"""WITH {views.RATINGS}, cf AS ({ORACLE_SQL['hybrid_cf_predict']}), means AS (SELECT item, avg(stars) AS prediction FROM train GROUP BY 1)
-SELECT "user", item, round(0.237 * cf.prediction + (1 - 0.237) * means.prediction, 9) AS prediction FROM cf JOIN means USING (item)""")
+SELECT "user", item, round(0.00001 * cf.prediction + (1 - 0.00001) * means.prediction, 6) AS prediction FROM cf JOIN means USING (item)""")
 def blend_predict(spark, d):
     """The hybrid's blend with means of items in place of trees."""
     train, test, _ = views.split_ratings(spark, d)
     means = test.select("user", "item").join(train.groupBy("item").agg(F.avg("stars").alias("prediction")), "item")
-    return rounded(recommend.blend(hybrid_cf_predict(spark, d), means, alpha=0.237), "prediction", digits=9)
+    return rounded(recommend.blend(hybrid_cf_predict(spark, d), means), "prediction")
 
 
 @query(f"""WITH {views.RATINGS}, cf AS ({ORACLE_SQL['itemcf_predict']}) SELECT round(sqrt(avg(pow(prediction - stars, 2))), 6) AS rmse, count(*) AS n FROM cf JOIN ratings USING ("user", item)""")
