@@ -1,8 +1,10 @@
 """The views of the test tables leave no row out."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.plans.catalogue import ORACLE_SQL, QUERIES
+from quern.sources.readers import indexed
 from tests.oracle import same
 
 
@@ -26,3 +28,14 @@ def test_all_edges_take_part(spark, tmp_path):
     spark.createDataFrame([(u, p) for u in users for p in parts], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert QUERIES["cograph_edges"](spark, str(tmp_path)).count() == 300
     assert {tuple(r) for r in QUERIES["graph_degree"](spark, str(tmp_path)).collect()} == {(u, 24) for u in users}
+
+
+def test_dense_numbers_of_many_values(spark):
+    """The sort is sampled and coalesced: numbers must come from the very partitions that were counted."""
+    rows = spark.range(0, 3_000_000, 1, 40).select((F.xxhash64("id") % 1_000_000).alias("k"))
+    got = indexed(rows, "k")
+    expected = rows.where("k IS NOT NULL").distinct().count()
+    found = got.agg(F.count_distinct("position").alias("n"), F.min("position").alias("low"), F.max("position").alias("high")).first()
+    assert tuple(found) == (expected, 0, expected - 1)
+    values = got.orderBy("position").toPandas()["k"]
+    assert values.is_monotonic_increasing
