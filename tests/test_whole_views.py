@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators.similarity import pearson_pairs
 from quern.plans.catalogue import ORACLE_SQL, QUERIES
 from quern.sources.readers import indexed
 from tests.oracle import same
@@ -39,3 +40,15 @@ def test_dense_numbers_of_many_values(spark):
     assert tuple(found) == (expected, 0, expected - 1)
     values = got.orderBy("position").toPandas()["k"]
     assert values.is_monotonic_increasing
+
+
+def test_no_pair_of_ratings_is_shuffled(spark):
+    """Pairs of ratings are many more than ratings: they must be summed where they are made."""
+    ratings = spark.createDataFrame([(u, f"i{u * k % 41:02}", float(u * k % 7)) for u in range(1, 30) for k in range(1, 20)], "user long, item string, stars double").distinct().groupBy("user", "item").agg(F.avg("stars").alias("stars"))
+    pairs = pearson_pairs(ratings)
+    assert "Exchange hashpartitioning(a" not in pairs._jdf.queryExecution().toString()
+    x, y = (ratings.select("user", F.col("item").alias(c), F.col("stars").alias(f"s{c}")) for c in "ab")
+    plain = x.join(y, "user").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("sa", "sb"), F.stddev_pop("sa") * F.stddev_pop("sb")).alias("r"))
+    both = pairs.join(plain.withColumnRenamed("n", "m"), ["a", "b"], "full").toPandas()
+    assert len(both) > 400 and (both["n"] == both["m"]).all()
+    assert ((both["similarity"] - both["r"].fillna(0.0)).abs() < 1e-9).all()
