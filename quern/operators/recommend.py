@@ -18,22 +18,23 @@ def neighbours(train: DataFrame, test: DataFrame, top_n: int = 15, min_corated:
     Pairs without enough common raters have similarity 0; an item is its own neighbour with 1 if the user rated it.
     Order: similarity (to nine digits) downwards, then item. ``with_lowest`` adds the lowest one again.
     """
-    pairs = pearson_pairs(train, min_corated)
-    both = pairs.select(F.col("a").alias("item"), F.col("b").alias("neighbour"), "similarity").unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("neighbour"), "similarity"))
     wanted = test.select("user", "item").distinct()
     rated = wanted.join(train.select("user", F.col("item").alias("neighbour"), "stars"), "user")
     if exclude_self:
         rated = rated.where("item <> neighbour")
     similar = F.when(F.col("item") == F.col("neighbour"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
-    scored = rated.join(both, ["item", "neighbour"], "left").select("user", "item", "neighbour", F.round(similar, 9).alias("similarity"), "stars")
+    met = rated.withColumns({"a": F.least("item", "neighbour"), "b": F.greatest("item", "neighbour")})
+    scored = met.join(pearson_pairs(train, min_corated).select("a", "b", "similarity"), ["a", "b"], "left").select("user", "item", "neighbour", F.round(similar, 9).alias("similarity"), "stars")
     if non_negative:
         scored = scored.where("similarity >= 0")
     order = [F.desc("similarity"), "neighbour"]
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("user", "item").orderBy(*order)))
-    chosen = ranked.where(F.col("rank") <= top_n)
-    if with_lowest:
-        last = ranked.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("user", "item"))).where("rank = n").drop("n")
-        chosen = chosen.unionByName(last)
+    each = W.partitionBy("user", "item")
+    ranked = scored.withColumn("rank", F.row_number().over(each.orderBy(*order)))
+    if not with_lowest:
+        chosen = ranked.where(F.col("rank") <= top_n)
+    else:
+        times = (F.col("rank") <= top_n).cast("int") + (F.col("rank") == F.col("n")).cast("int")
+        chosen = ranked.withColumn("n", F.count(F.lit(1)).over(each)).withColumn("time", F.explode(F.array_repeat(F.lit(1), times)))
     return chosen.select("user", "item", "neighbour", "similarity", "stars")
 
 
