@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,19 @@ def test_co_graph(spark):
     assert rows(graph.co_graph(pairs, 2)) == [(1, 2, 2)]
 
 
+def test_few_edges_are_met_where_few_nodes_are_left(monkeypatch):
+    """A hub of 300 nodes that are joined among themselves, and one node beyond: the search must not meet all edges of the deepest level."""
+    every = np.arange(1, 301)
+    src = np.concatenate([np.zeros(300, int), np.repeat(every, 20), [300], np.arange(1000, 1010)])
+    dst = np.concatenate([every, (np.repeat(every, 20) + np.tile(np.arange(1, 21), 300) - 1) % 300 + 1, [301], np.arange(1001, 1011)])
+    held, met, steps = graph.Held(np.minimum(src, dst), np.maximum(src, dst)), [], graph.Held.steps
+    held.labels = lambda found=held.labels(): found
+    monkeypatch.setattr(graph.Held, "steps", lambda self, frontier: met.append(len((out := steps(self, frontier))[1])) or out)
+    got = held.flows(np.array([0]))
+    assert sum(met) < 400
+    assert got[src == 300].max() == 1.0 and math.isclose(got[:300].sum(), 301) and not got[-10:].any()
+
+
 def test_betweenness_sum_is_sum_of_distances(spark):
     r = random.Random(9)
     pairs = sorted({(a, b) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(24)) if a < b})
