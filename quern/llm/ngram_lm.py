@@ -24,12 +24,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import atexit
 import io
-import os
-import shutil
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby, repeat
@@ -44,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.arrow import as_bytes, id_and_text, map_slices
-from quern.staging import Stages, fresh_path
+from quern.staging import Stages, Store, fresh_path
 
 SCORES = T.StructType(
     [
@@ -70,64 +65,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-_FOLDERS: list[str] = []
-
-
-def _own_folder() -> str:
-    """A folder of this worker process for copies, removed at its end."""
-    if not _FOLDERS:
-        _FOLDERS.append(tempfile.mkdtemp(prefix="quern-lm-"))
-        atexit.register(shutil.rmtree, _FOLDERS[0], True)
-    return _FOLDERS[0]
-
-
-class Store:
-    """Arrays in a folder that all workers share."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-        self.mounted = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
-
-    def _fs(self):
-        from pyarrow.fs import FileSystem
-
-        return FileSystem.from_uri(self.folder)
-
-    def put(self, name: str, array: np.ndarray) -> None:
-        if self.mounted:
-            os.makedirs(self.mounted, exist_ok=True)
-            part = f"{self.mounted}/.{name}-{uuid.uuid4().hex}"
-            array.tofile(part)
-            os.replace(part, f"{self.mounted}/{name}")
-        else:
-            fs, path = self._fs()
-            fs.create_dir(path)
-            part = f"{path}/_{name}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(part) as f:
-                f.write(array.tobytes())
-            fs.move(part, f"{path}/{name}")
-
-    def get(self, name: str, dtype) -> np.ndarray:
-        """Memory-mapped; read-only. Empty where nothing was put."""
-        if self.mounted:
-            path = f"{self.mounted}/{name}"
-            if not os.path.exists(path):
-                return np.empty(0, dtype)
-        else:
-            path = os.path.join(_own_folder(), f"{os.path.basename(self.folder)}-{name}")
-            if not os.path.exists(path):
-                from pyarrow.fs import FileType
-
-                fs, there = self._fs()
-                if fs.get_file_info(f"{there}/{name}").type == FileType.NotFound:
-                    return np.empty(0, dtype)
-                with fs.open_input_stream(f"{there}/{name}") as f, open(part := f"{path}-{uuid.uuid4().hex}", "wb") as out:
-                    while chunk := f.read(1 << 22):
-                        out.write(chunk)
-                os.replace(part, path)
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-
-
 class Opened(dict):
     """name -> array of a store, opened when asked for; the oldest are closed beyond ``OPEN``."""
 
