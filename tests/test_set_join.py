@@ -57,3 +57,8 @@ def test_rows_of_one_id_are_one_set(spark, tmp_path, name):
     docs = [(1, "a b"), (1, "b c d"), (2, "a b c  D"), (3, "a b c x"), (4, None), (5, " "), (None, "a b c d")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(QUERIES[name](spark, str(tmp_path))) == [(1, 2, 1.0), (1, 3, 0.6)]
+
+
+def test_lsh_join_writes_its_bands_but_no_pairs(spark, tmp_path, monkeypatch):
+    size, got = held(spark, tmp_path, monkeypatch, similarity.lsh_pairs, near_misses(spark))
+    assert size < 2_500_000 and all(s >= 0.5 for _, _, s in got)
