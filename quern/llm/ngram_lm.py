@@ -27,18 +27,19 @@ from __future__ import annotations
 import io
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import as_bytes, id_and_text, map_slices
+from quern.llm.arrow import id_and_text, map_slices
 from quern.staging import Stages, Store, fresh_path
 
 SCORES = T.StructType(
@@ -61,8 +62,26 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+class Words:
+    """The words of a column of texts: ``number`` of each in a row, counted among the ``distinct`` ones, and the ``sizes`` of the texts."""
+
+    def __init__(self, texts: pa.Array):
+        if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+            texts = texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty piece
+        if not filled.all():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[filled], minlength=len(sizes))
+            words = words.filter(pa.array(filled))
+        found = words.dictionary_encode()
+        self.sizes, self.number = sizes, found.indices.to_numpy(zero_copy_only=False)
+        distinct = found.dictionary
+        self.distinct = distinct.view(pa.large_binary() if pa.types.is_large_string(distinct.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))
 
 
 class Opened(dict):
@@ -85,7 +104,6 @@ class Vocabulary:
     def __init__(self, store: Store, bits: int, first: list[int]):
         self.store, self.bits, self.first = store, bits, np.array(first, np.int64)
         self.files = Opened(store, np.uint64)
-        self.memo: dict[bytes, int] = {}
 
     def _file(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
@@ -104,20 +122,9 @@ class Vocabulary:
     def number(self, h: int) -> int:
         return int(self.numbers(np.array([h], np.uint64))[0])
 
-    def of_texts(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Numbers of the words of each text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        get, fresh = self.memo.get, repeat(-2)
-        out = [np.fromiter(map(get, t, fresh), np.int64, len(t)) for t in texts]
-        gaps = [(t, o, np.flatnonzero(o == -2).tolist()) for t, o in zip(texts, out, strict=True)]
-        if new := list({t[i] for t, _, at in gaps for i in at}):
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            self.memo.update(zip(new, self.numbers(h).tolist(), strict=True))
-        for t, o, at in gaps:
-            if at:
-                o[at] = [self.memo[t[i]] for i in at]
-        return out
+    def of_words(self, words: Words) -> np.ndarray:
+        """Numbers of all words in a row."""
+        return self.numbers(words.hashes())[words.number]
 
     def counts(self, number: np.ndarray) -> np.ndarray:
         """The words' counts; 0 where a number is negative."""
@@ -155,18 +162,19 @@ def find(index: np.ndarray, key: np.ndarray) -> np.ndarray:
     places, stored = index[1 : (1 << b) + 2], index[(1 << b) + 2 :]
     first = (key >> np.uint64(64 - b)).astype(np.int64) if b else np.zeros(len(key), np.int64)
     want = ((key >> np.uint64(32 - b)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    low, end = places[first].astype(np.int64), places[first + 1].astype(np.int64)
-    high = end.copy()
-    at = np.flatnonzero(low < high)
-    while len(at):
-        middle = (low[at] + high[at]) >> 1
-        less = stored[middle] < want[at]
-        low[at[less]], high[at[~less]] = middle[less] + 1, middle[~less]
-        at = at[low[at] < high[at]]
-    inside = np.flatnonzero(low < end)
+    at, end = places[first].astype(np.int64), places[first + 1].astype(np.int64)
+    top = len(stored) - 1
+    step = 1 << int((end - at).max(initial=0)).bit_length() >> 1
+    while step:  # all places are halved together, which is faster than to pick out those still open
+        middle = at + (step - 1)
+        less = stored[np.minimum(middle, top)] < want
+        less &= middle < end
+        at += less * np.int64(step)
+        step >>= 1
     out = np.full(len(key), -1, np.int64)
-    hit = inside[stored[low[inside]] == want[inside]]
-    out[hit] = low[hit]
+    if top >= 0:
+        hit = (at < end) & (stored[np.minimum(at, top)] == want)
+        out[hit] = at[hit]
     return out
 
 
@@ -217,9 +225,10 @@ def count_words(texts: DataFrame) -> DataFrame:
             return {"h": h, "n": np.fromiter(held.values(), np.int64, len(held))}
 
         for part in parts:
-            for t in as_bytes(part.column("text")):
-                held.update(words_of(t))
-                docs += 1
+            words = Words(part.column("text"))
+            docs += part.num_rows
+            for w, n in zip(words.distinct, np.bincount(words.number, minlength=len(words.distinct)).tolist(), strict=True):
+                held[w] += n
             if len(held) > MEMO:
                 yield flush()
                 held.clear()
@@ -293,10 +302,13 @@ class Layout:
         return out
 
 
-def _columns(texts: list[np.ndarray], start: int, end: int, order: int) -> list[np.ndarray]:
-    """The n-grams of all tokens of the texts, a column for each of their words."""
-    w = np.concatenate([x for t in texts for x in (t, [end])]).astype(np.int64)
-    sizes = np.array([len(t) + 1 for t in texts])
+def _columns(numbers: np.ndarray, sizes: np.ndarray, start: int, end: int, order: int) -> list[np.ndarray]:
+    """The n-grams of all tokens of texts of so many words each, a column for each of their words."""
+    sizes = sizes + 1
+    last = np.zeros(sizes.sum(), bool)
+    last[np.cumsum(sizes) - 1] = True
+    w = np.full(len(last), end, np.int64)
+    w[~last] = numbers
     place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = []
     for back in range(order - 1, 0, -1):
@@ -341,7 +353,8 @@ def _packed_tokens(texts: DataFrame, layout: Layout) -> DataFrame:
             return _packed(*_rows_summed(rows), layout, v)
 
         for part in parts:
-            held.append(_columns(v.of_texts([words_of(t) for t in as_bytes(part.column("text"))]), start, end, layout.order))
+            words = Words(part.column("text"))
+            held.append(_columns(v.of_words(words), words.sizes, start, end, layout.order))
             n += len(held[-1][0])
             if n >= PACK_TOKENS:
                 yield flush()
@@ -490,7 +503,9 @@ class Scorer:
         for a, b in zip(cuts, np.r_[cuts[1:], len(part)][: len(cuts)], strict=True):
             p, at = int(sorted_part[a]), order[a:b]
             if len(known := self.keys[f"{kind}-key-{p}"]):
-                k = find(known, key[at])
+                wanted = key[at]
+                new = np.r_[True, wanted[1:] != wanted[:-1]]
+                k = find(known, wanted[new])[np.cumsum(new) - 1]
                 yield p, at[k >= 0], k[k >= 0]
 
     def _grams(self, m: int, key: np.ndarray, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -504,12 +519,12 @@ class Scorer:
             out[at] = got
         return out
 
-    def _contexts(self, m: int, key: np.ndarray, hot: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """total, n1, n2 and n3 in columns; ``known``: the context is an n-gram that something follows."""
+    def _contexts(self, m: int, key: np.ndarray, hot: np.ndarray, known: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """total, n1, n2 and n3 in columns; ``known``: the context is an n-gram that something follows; ``begins``: it is start marks."""
         out = np.zeros((len(key), 4), np.int64)
         out[known, :2] = 1
         spread = np.where(hot, np.mod(key.view(np.int64), self.layout.parts), _part(key, key, hot, self.layout.parts))
-        for kind, side, files in ((f"context{m}", np.flatnonzero(~hot), self.few), (f"hot{m}", np.flatnonzero(hot), self.sums)):
+        for kind, side, files in ((f"context{m}", np.flatnonzero(~hot & (known | begins)), self.few), (f"hot{m}", np.flatnonzero(hot & (known | begins)), self.sums)):
             for p, at, k in self._find(kind, key[side], spread[side]):
                 out[side[at]] = files[f"{kind}-sums-{p}"].reshape(-1, 4)[k]
         return out
@@ -518,11 +533,11 @@ class Scorer:
     def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
         return np.maximum(c - np.select([c == 1, c == 2, c >= 3], d, 0.0), 0.0)
 
-    def __call__(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
         lay = self.layout
-        words = [words_of(t) for t in texts]
-        columns = _columns(self.v.of_texts(words), self.start, self.end, lay.order)
-        size = np.array([len(t) + 1 for t in words], np.int64)
+        words = Words(texts)
+        columns = _columns(self.v.of_words(words), words.sizes, self.start, self.end, lay.order)
+        size = words.sizes + 1
         starts = np.cumsum(size) - size
         seen, back = np.unique(columns[-1], return_inverse=True)
         many = self.v.counts(np.r_[seen, self.start])
@@ -534,7 +549,9 @@ class Scorer:
         key = chained([seen])
         c = np.where(seen >= 0, self._grams(1, key, key, np.ones(len(key), bool)), 0)
         p = (lay.lower_mass / (vocabulary + 1) + (self._discounted(c, lay.discounts[1]) / lay.types if lay.types else np.zeros(len(key))))[back]
-        c, context = c[back], None
+        c = c[back]
+        first = np.zeros(len(c), bool)
+        first[starts] = True
         for m in range(2, lay.order + 1):
             own, counts = columns[lay.order - m :], count[lay.order - m :]
             context = chained(own[:-1])
@@ -542,9 +559,11 @@ class Scorer:
             known = np.r_[False, c[:-1] > 0]  # the context is the shorter n-gram of the token before, which something follows
             known[starts] = False
             hot = lay.hot(counts[:-1])
-            sums = self._contexts(m, context, hot, known)
+            sums = self._contexts(m, context, hot, known, first)
             sums[~np.logical_and.reduce([x >= 0 for x in own[:-1]])] = 0
-            c = np.where(real, self._grams(m, chained(own), context, hot), 0)
+            at = np.flatnonzero(real & (c > 0) & (known | first))  # else the n-gram's last words, or its context, were never seen
+            c = np.zeros(len(c), np.int64)
+            c[at] = self._grams(m, chained([x[at] for x in own]), context[at], hot[at])
             d = lay.discounts[m]
             total = sums[:, 0]
             spare = np.divide(sums[:, 1:] @ np.array(d), total, out=np.ones(len(total)), where=total > 0)
@@ -560,6 +579,6 @@ def score(df: DataFrame, layout: Layout, id_col: str = "doc_id", text_col: str =
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scorer = Scorer(layout)
         for part in parts:
-            yield {"doc_id": part.column("doc_id"), **scorer(as_bytes(part.column("text")))}
+            yield {"doc_id": part.column("doc_id"), **scorer(part.column("text"))}
 
     return map_slices(id_and_text(df, id_col, text_col), work, SCORES)
