@@ -1,12 +1,12 @@
 """Language-model scoring: an interpolated modified Kneser-Ney model of any order from two on.
 
 The counts are made in Spark. Words become 64-bit hashes; their counts are summed by a shuffle and written as
-sorted hash arrays, one file per range of hashes, and a word's place in them is its number. N-grams of numbers
+sorted hash arrays, one file per range of hashes, and a word's place in them, after the frequent words, is its number. N-grams of numbers
 are counted per partition, packed (sorted, delta-coded, compressed) and merged per part into sorted arrays of
 64-bit n-gram hashes with counts; each merged n-gram then counts once for its last words, which gives the
 continuation counts of the next lower order, merged the same way, down to single words. N-grams of a context stay in
 one part but for hot contexts, all of whose words are frequent: their n-grams are dealt over all parts by hash, and
-their sums meet in a shuffle. The orders follow one another in one job, whose rows are what the next order counts. Whether a context is hot follows from its words' counts, which every worker can look up.
+their sums meet in a shuffle. The orders follow one another in one job, whose rows are what the next order counts. Whether a context is hot follows from its words' numbers, as frequent words have the lowest.
 Contexts that occur once are not stored: one that is a known n-gram and not stored has one follower. Workers open
 parts on demand and memory-map them, so a model larger than memory serves.
 
@@ -25,7 +25,6 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -54,7 +53,7 @@ SCORES = T.StructType(
 )
 #: The order of the model, of two or more.
 ORDER = 3
-#: Words of a file of hashes, tokens of a part, tokens counted before a worker packs them, words remembered and files opened by a worker.
+#: Words of a file of hashes, tokens of a part, tokens counted before a worker packs them, words counted and files opened by a worker.
 WORDS_PER_FILE, TOKENS_PER_PART, PACK_TOKENS, MEMO, OPEN = 1 << 20, 2_000_000, 1_500_000, 400_000, 4096
 #: No word holds a line break, so these hashes belong to no word.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
@@ -99,24 +98,31 @@ class Opened(dict):
 
 
 class Vocabulary:
-    """The words' sorted hashes: file f holds the hashes whose top bits are f; first[f] is the number of its first word."""
+    """The words' sorted hashes: file f holds the hashes whose top bits are f; first[f] is the place of its first word.
 
-    def __init__(self, store: Store, bits: int, first: list[int]):
-        self.store, self.bits, self.first = store, bits, np.array(first, np.int64)
-        self.files = Opened(store, np.uint64)
+    A word's number is its place among the ``frequent`` ones' places, if it is one of them, else its place and their number."""
 
-    def _file(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+    def __init__(self, store: Store, bits: int, first: list[int], frequent: np.ndarray):
+        self.store, self.bits, self.first, self.frequent = store, bits, np.array(first, np.int64), frequent
+        self.files = Opened(store, np.uint64)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The words' numbers, -1 where unknown."""
-        out, files = np.full(len(h), -1, np.int64), self._file(h)
-        for f in np.unique(files):
-            at = np.flatnonzero(files == f)
-            known = self.files[f"word-hash-{f}"]
+        order, h = _order(h)
+        files = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        place = np.full(len(h), -1, np.int64)
+        cuts = np.flatnonzero(np.r_[True, files[1:] != files[:-1]]) if len(h) else np.empty(0, np.int64)
+        for a, b in zip(cuts, np.r_[cuts[1:], len(h)][: len(cuts)], strict=True):
+            known = self.files[f"word-hash-{files[a]}"]
             if len(known):
-                k = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-                out[at] = np.where(known[k] == h[at], self.first[f] + k, -1)
+                k = np.minimum(np.searchsorted(known, h[a:b]), len(known) - 1)
+                place[a:b] = np.where(known[k] == h[a:b], self.first[files[a]] + k, -1)
+        number = np.where(place >= 0, place + len(self.frequent), -1)
+        if len(self.frequent):
+            k = np.minimum(np.searchsorted(self.frequent, place), len(self.frequent) - 1)
+            number = np.where(self.frequent[k] == place, k, number)
+        out = np.empty(len(h), np.int64)
+        out[order] = number
         return out
 
     def number(self, h: int) -> int:
@@ -128,23 +134,31 @@ class Vocabulary:
 
     def counts(self, number: np.ndarray) -> np.ndarray:
         """The words' counts; 0 where a number is negative."""
-        out = np.zeros(len(number), np.int64)
-        of = np.searchsorted(self.first, number, side="right") - 1
+        out, place = np.zeros(len(number), np.int64), number - len(self.frequent)
+        often = (number >= 0) & (place < 0)
+        place[often] = self.frequent[number[often]]
+        of = np.searchsorted(self.first, place, side="right") - 1
         for f in np.unique(of[number >= 0]):
             at = np.flatnonzero((of == f) & (number >= 0))
             if len(known := self.files[f"word-count-{f}"]):
-                out[at] = known[number[at] - self.first[f]]
+                out[at] = known[place[at] - self.first[f]]
         return out
 
 
+def _longer(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The hashes of rows with the words ``c`` after them."""
+    h = (h ^ (c.astype(np.uint64) + np.uint64(0x9E37))) * _ODD
+    h ^= h >> np.uint64(29)
+    h *= _MIX
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def chained(columns: list[np.ndarray]) -> np.ndarray:
     """64-bit hashes of rows of words; that of a context, then a word, is that of the longer row. Nothing for no columns."""
     h = np.zeros(len(columns[0]) if columns else 0, np.uint64)
     for c in columns:
-        h = (h ^ (c.astype(np.uint64) + np.uint64(0x9E37))) * _ODD
-        h ^= h >> np.uint64(29)
-        h *= _MIX
-        h ^= h >> np.uint64(32)
+        h = _longer(h, c)
     return h
 
 
@@ -193,18 +207,43 @@ def _expand(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of unsigned 64-bit numbers, and the numbers in that order.
+
+    The numbers are sorted with their places in their last bits, which is faster than ``argsort``; those that differ in these bits only are put right."""
+    last = np.uint64((1 << len(key).bit_length()) - 1)
+    held = (key & ~last) | np.arange(len(key), dtype=np.uint64)
+    held.sort()
+    order = (held & last).view(np.int64)
+    out = key[order]
+    wrong = np.flatnonzero(out[1:] < out[:-1]).tolist()
+    if len(wrong) > 1000:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    end = 0
+    for i in wrong:
+        if i >= end:
+            begin, end = np.searchsorted(held, held[i] & ~last), np.searchsorted(held, held[i] | last, side="right")
+            at = begin + np.argsort(out[begin:end], kind="stable")
+            order[begin:end], out[begin:end] = order[at], out[at]
+    return order, out
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+
+
 def _sorted_by(key: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The order by part, then key."""
-    order = np.argsort(key)
-    return order[np.argsort(part[order].astype(np.uint16) if len(part) and part.max() < 1 << 16 else part[order], kind="stable")]
+    """The order by part, then by key but for its last bits."""
+    bits = int(part.max(initial=0)).bit_length()
+    return _order((part.astype(np.uint64) << np.uint64(64 - bits)) | (key >> np.uint64(bits)) if bits else key)[0]
 
 
 def _rows_summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sorted distinct hashes of rows, the rows, and their summed counts (of one each if not given)."""
-    key = chained(columns)
-    order = np.argsort(key)
-    key = key[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    order, key = _order(chained(columns))
+    starts = _starts(key)
     first = order[starts]
     if counts is None:
         summed = np.diff(np.r_[starts, len(key)])
@@ -217,22 +256,28 @@ def count_words(texts: DataFrame) -> DataFrame:
     """h, n: the words of the column ``text`` by hash, END and START once per text."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: Counter = Counter()
-        docs = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        docs = rows = 0
 
-        def flush() -> dict:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)).view(np.int64)
-            return {"h": h, "n": np.fromiter(held.values(), np.int64, len(held))}
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order, h = _order(h)
+            starts = _starts(h)
+            return h[starts], np.add.reduceat(n[order], starts) if len(starts) else n
 
         for part in parts:
             words = Words(part.column("text"))
             docs += part.num_rows
-            for w, n in zip(words.distinct, np.bincount(words.number, minlength=len(words.distinct)).tolist(), strict=True):
-                held[w] += n
-            if len(held) > MEMO:
-                yield flush()
-                held.clear()
-        yield flush()
+            held.append((words.hashes(), np.bincount(words.number, minlength=len(words.distinct))))
+            rows += len(words.distinct)
+            if rows > 2 * MEMO:
+                held = [summed()]
+                if (rows := len(held[0][0])) > MEMO:
+                    yield {"h": held[0][0].view(np.int64), "n": held[0][1]}
+                    held, rows = [], 0
+        if held:
+            h, n = summed()
+            yield {"h": h.view(np.int64), "n": n}
         if docs:
             yield {"h": np.array([END, START], np.uint64).view(np.int64), "n": [docs, docs]}
 
@@ -247,8 +292,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple
         yield part, [x[1:] for x in run]
 
 
-def _write_words(counts: DataFrame, store: Store, bits: int) -> dict[int, int]:
-    """Write the sorted hash arrays; file -> words."""
+def _write_words(counts: DataFrame, store: Store, bits: int, hot_count: int) -> dict[int, tuple[int, list[int]]]:
+    """Write the sorted hash arrays; file -> words, and the places in it of those that are counted oftener than ``hot_count``."""
     part = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     dealt = counts.withColumn("part", part).repartition(max(1, 1 << bits), "part").sortWithinPartitions("part")
 
@@ -262,7 +307,7 @@ def _write_words(counts: DataFrame, store: Store, bits: int) -> dict[int, int]:
             order = np.argsort(h)
             store.put(f"word-hash-{f}", h[order])
             store.put(f"word-count-{f}", n[order])
-            out.append((f, len(h)))
+            out.append((f, len(h), np.flatnonzero(n[order] > hot_count).tolist()))
 
         for b in batches:
             p = b.column("part").to_numpy()
@@ -276,29 +321,30 @@ def _write_words(counts: DataFrame, store: Store, bits: int) -> dict[int, int]:
                     held.append(piece)
         if held:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["file", "words"])
+        types = {"file": pa.int64(), "words": pa.int64(), "frequent": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types.values())], names=list(types))
 
-    return {r["file"]: r["words"] for r in dealt.select("part", "h", "n").mapInArrow(run, "file long, words long").collect()}  # a row per file
+    # A row per file; of words counted so often there are fewer than four for each part of tokens, but for START.
+    return {r["file"]: (r["words"], r["frequent"]) for r in dealt.select("part", "h", "n").mapInArrow(run, "file long, words long, frequent array<long>").collect()}
 
 
 class Layout:
     """What a worker needs to open the model; small."""
 
-    def __init__(self, store: Store, bits: int, first: list[int], parts: int, tokens: int, order: int):
-        self.store, self.bits, self.first, self.parts, self.tokens, self.order = store, bits, first, parts, tokens, order
+    def __init__(self, store: Store, bits: int, first: list[int], frequent: np.ndarray, parts: int, tokens: int, order: int):
+        self.store, self.bits, self.first, self.frequent, self.parts, self.tokens, self.order = store, bits, first, frequent, parts, tokens, order
         self.words = self.types = 0
-        self.hot_count = TOKENS_PER_PART // 4
         self.lower_mass = 0.0
         self.discounts: dict[int, tuple] = {}
 
     def vocabulary(self) -> Vocabulary:
-        return Vocabulary(self.store, self.bits, self.first)
+        return Vocabulary(self.store, self.bits, self.first, self.frequent)
 
-    def hot(self, counts: list[np.ndarray]) -> np.ndarray:
-        """Whether contexts are hot, by the counts of their words, a column each: so many that a part would not hold them."""
-        out = np.ones(len(counts[0]), bool)
-        for c in counts:
-            out &= c > self.hot_count
+    def hot(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Whether contexts, a column for each of their words, are hot: of frequent words only, so many that a part would not hold them."""
+        out = np.ones(len(columns[0]), bool)
+        for c in columns:
+            out &= (c >= 0) & (c < len(self.frequent))
         return out
 
 
@@ -322,15 +368,14 @@ def _columns(numbers: np.ndarray, sizes: np.ndarray, start: int, end: int, order
 PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
-def _packed(key: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, layout: Layout, v: Vocabulary) -> dict:
+def _packed(key: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, layout: Layout) -> dict:
     """PACKED columns for distinct rows of words with their hashes."""
     if len(columns) > 1:
-        seen, back = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
-        hot = layout.hot(list(v.counts(seen)[back].reshape(len(columns) - 1, -1)))
-        part = _part(chained(columns[:-1]), key, hot, layout.parts)
+        part = _part(chained(columns[:-1]), key, layout.hot(columns[:-1]), layout.parts)
     else:
         part = _part(key, key, np.ones(len(key), bool), layout.parts)
-    order = _sorted_by(columns[0], part)
+    bits = max(1, int(columns[0].max(initial=0)).bit_length())
+    order = _sorted_by(columns[0].astype(np.uint64) << np.uint64(64 - bits), part)
     part, columns, counts = part[order], [c[order] for c in columns], counts[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
     ends = np.r_[cuts[1:], len(part)][: len(cuts)]
@@ -350,7 +395,7 @@ def _packed_tokens(texts: DataFrame, layout: Layout) -> DataFrame:
         def flush() -> dict:
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            return _packed(*_rows_summed(rows), layout, v)
+            return _packed(*_rows_summed(rows), layout)
 
         for part in parts:
             words = Words(part.column("text"))
@@ -374,9 +419,8 @@ _MERGED = T.StructType([*PACKED.fields, T.StructField("m", T.IntegerType()), T.S
 
 def _context_sums(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct contexts with total, n1, n2 and n3 (or more) in columns."""
-    order = np.argsort(context)
-    context, counts = context[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.empty(0, np.int64)
+    order, context = _order(context)
+    counts, starts = counts[order], _starts(context)
     each = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
     return context[starts], np.add.reduceat(each, starts, axis=0) if len(starts) else each
 
@@ -385,8 +429,7 @@ def _merge(packed: DataFrame, layout: Layout, m: int) -> DataFrame:
     """Write the sorted arrays of the n-grams of ``m`` words and of their contexts; rows as _MERGED says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = layout.vocabulary()
-        start = v.number(START)
+        start = layout.vocabulary().number(START)
         for part, blobs in _grouped(batches, *PACKED.names[1:], *_MERGED.names[3:]):
             if part < 0:  # sums of a higher order, to pass on
                 yield _merged({"part": [part] * len(blobs), **dict(zip(_MERGED.names[3:], ([x[k] for x in blobs] for k in range(2, len(_MERGED) - 1)), strict=True))})
@@ -407,8 +450,7 @@ def _merge(packed: DataFrame, layout: Layout, m: int) -> DataFrame:
             yield _merged({"part": [-1 - part], "m": [m], **out})
             if m == 1:
                 continue
-            seen, back = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
-            hot = layout.hot(list(v.counts(seen)[back].reshape(m - 1, -1)))
+            hot = layout.hot(columns[:-1])
             context = chained(columns[:-1])
             names, sums = _context_sums(context[~hot], counts[~hot])
             begins = np.unique(context[columns[m - 2] == start])
@@ -419,7 +461,7 @@ def _merge(packed: DataFrame, layout: Layout, m: int) -> DataFrame:
             if hot.any():
                 names, sums = _context_sums(context[hot], counts[hot])
                 yield _merged({"part": -1 - (names >> np.uint64(44)).astype(np.int64), "m": [m] * len(names), "context": names.view(np.int64), "total": sums[:, 0], "t1": sums[:, 1], "t2": sums[:, 2], "up3": sums[:, 3]})
-            yield _merged(_packed(*_rows_summed(columns[1:]), layout, v))
+            yield _merged(_packed(*_rows_summed(columns[1:]), layout))
 
     def _merged(columns: dict) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -465,10 +507,11 @@ def train(texts: DataFrame, stages: Stages, order: int = ORDER) -> Layout:
     apart = ~F.col("h").isin(*(int(np.uint64(x).view(np.int64)) for x in (START,)))
     total = counts.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.when(apart, F.col("n"))), F.lit(0)).alias("tokens")).first()
     bits = max(0, int(np.ceil(np.log2(max(1, total["words"]) / WORDS_PER_FILE))))
-    sizes = _write_words(counts, store, bits)
+    sizes = _write_words(counts, store, bits, TOKENS_PER_PART // 4)
     stages.drop(counts)
-    first = np.cumsum([0] + [sizes.get(f, 0) for f in range((1 << bits) - 1)]).tolist()
-    layout = Layout(store, bits, first, max(1, -(-total["tokens"] // TOKENS_PER_PART)), total["tokens"], order)
+    first = np.cumsum([0] + [sizes.get(f, (0,))[0] for f in range((1 << bits) - 1)]).tolist()
+    frequent = np.sort(np.array([first[f] + k for f, (_, places) in sizes.items() for k in places], np.int64))
+    layout = Layout(store, bits, first, frequent, max(1, -(-total["tokens"] // TOKENS_PER_PART)), total["tokens"], order)
     layout.words = total["words"]
     rows = _packed_tokens(texts, layout)
     for m in range(order, 0, -1):
@@ -498,79 +541,89 @@ class Scorer:
     def _find(self, kind: str, key: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(part, places in ``key``, places in the part's array) of the keys that are found; sorted keys are found fastest."""
         order = _sorted_by(key, part)
-        sorted_part = part[order]
-        cuts = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]]) if len(part) else np.empty(0, np.int64)
+        key, part = key[order], part[order]
+        cuts = _starts(part)
         for a, b in zip(cuts, np.r_[cuts[1:], len(part)][: len(cuts)], strict=True):
-            p, at = int(sorted_part[a]), order[a:b]
+            p = int(part[a])
             if len(known := self.keys[f"{kind}-key-{p}"]):
-                wanted = key[at]
-                new = np.r_[True, wanted[1:] != wanted[:-1]]
-                k = find(known, wanted[new])[np.cumsum(new) - 1]
-                yield p, at[k >= 0], k[k >= 0]
+                k = find(known, key[a:b])
+                hit = np.flatnonzero(k >= 0)
+                yield p, order[a:b][hit], k[hit]
 
     def _grams(self, m: int, key: np.ndarray, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """The counts of n-grams."""
         out = np.zeros(len(key), np.int64)
         for p, at, k in self._find(f"gram{m}", key, _part(context, key, hot, self.layout.parts)):
             got = self.small[f"gram{m}-count-{p}"][k].astype(np.int64)
-            if (got == 255).any():
+            if len(more := np.flatnonzero(got == 255)):
                 place, count = self.sums[f"gram{m}-many-{p}"].reshape(2, -1)
-                got[got == 255] = count[np.searchsorted(place, k[got == 255])]
+                got[more] = count[np.searchsorted(place, k[more])]
             out[at] = got
         return out
 
-    def _contexts(self, m: int, key: np.ndarray, hot: np.ndarray, known: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """total, n1, n2 and n3 in columns; ``known``: the context is an n-gram that something follows; ``begins``: it is start marks."""
+    def _contexts(self, m: int, key: np.ndarray, hot: np.ndarray, known: np.ndarray, begin: int) -> np.ndarray:
+        """total, n1, n2 and n3 in columns; ``known``: the context is an n-gram that something follows; ``begin``: the one of start marks."""
         out = np.zeros((len(key), 4), np.int64)
         out[known, :2] = 1
-        spread = np.where(hot, np.mod(key.view(np.int64), self.layout.parts), _part(key, key, hot, self.layout.parts))
-        for kind, side, files in ((f"context{m}", np.flatnonzero(~hot & (known | begins)), self.few), (f"hot{m}", np.flatnonzero(hot & (known | begins)), self.sums)):
-            for p, at, k in self._find(kind, key[side], spread[side]):
-                out[side[at]] = files[f"{kind}-sums-{p}"].reshape(-1, 4)[k]
+        asked = known.copy()
+        asked[begin] = True
+        parts = self.layout.parts
+        cold, often = np.flatnonzero(asked & ~hot), np.flatnonzero(asked & hot)
+        for p, at, k in self._find(f"context{m}", key[cold], _part(key[cold], key[cold], hot[cold], parts)):
+            out[cold[at]] = self.few[f"context{m}-sums-{p}"].reshape(-1, 4)[k]
+        for p, at, k in self._find(f"hot{m}", key[often], np.mod(key[often].view(np.int64), parts)):
+            out[often[at]] = self.sums[f"hot{m}-sums-{p}"].reshape(-1, 4)[k]
         return out
 
     @staticmethod
     def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-        return np.maximum(c - np.select([c == 1, c == 2, c >= 3], d, 0.0), 0.0)
+        return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
     def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """Each distinct n-gram is looked up and scored once; ``gram`` has the n-gram that ends with each token."""
         lay = self.layout
         words = Words(texts)
-        columns = _columns(self.v.of_words(words), words.sizes, self.start, self.end, lay.order)
+        n_words = len(words.distinct)
+        number = np.r_[self.v.numbers(words.hashes()), self.end, self.start]
         size = words.sizes + 1
         starts = np.cumsum(size) - size
-        seen, back = np.unique(columns[-1], return_inverse=True)
-        many = self.v.counts(np.r_[seen, self.start])
-        count = [np.where(c == self.start, many[-1], 0) for c in columns[:-1]] + [many[back]]
-        for k in range(lay.order - 1):  # the word that stands so far back, but for start marks
-            ahead = lay.order - 1 - k
-            count[k][ahead:] = np.where(columns[k][ahead:] == self.start, many[-1], count[-1][:-ahead])
+        (token,) = _columns(words.number, words.sizes, n_words + 1, n_words, 1)
         vocabulary = max(0, lay.words - 1)  # without START
-        key = chained([seen])
-        c = np.where(seen >= 0, self._grams(1, key, key, np.ones(len(key), bool)), 0)
-        p = (lay.lower_mass / (vocabulary + 1) + (self._discounted(c, lay.discounts[1]) / lay.types if lay.types else np.zeros(len(key))))[back]
-        c = c[back]
-        first = np.zeros(len(c), bool)
-        first[starts] = True
+        n = self.v.counts(number)
+        base = np.log10((n + 0.5) / (lay.tokens + 0.5 * (vocabulary + 1)))
+        columns, gram, begin = [number], token, n_words + 1
+        key = chained(columns)
+        c, at = np.zeros(len(key), np.int64), np.flatnonzero(number >= 0)
+        c[at] = self._grams(1, key[at], key[at], np.ones(len(at), bool))
+        p = lay.lower_mass / (vocabulary + 1) + (self._discounted(c, lay.discounts[1]) / lay.types if lay.types else np.zeros(len(key)))
         for m in range(2, lay.order + 1):
-            own, counts = columns[lay.order - m :], count[lay.order - m :]
-            context = chained(own[:-1])
-            real = np.logical_and.reduce([x >= 0 for x in own])
-            known = np.r_[False, c[:-1] > 0]  # the context is the shorter n-gram of the token before, which something follows
-            known[starts] = False
-            hot = lay.hot(counts[:-1])
-            sums = self._contexts(m, context, hot, known, first)
-            sums[~np.logical_and.reduce([x >= 0 for x in own[:-1]])] = 0
-            at = np.flatnonzero(real & (c > 0) & (known | first))  # else the n-gram's last words, or its context, were never seen
-            c = np.zeros(len(c), np.int64)
-            c[at] = self._grams(m, chained([x[at] for x in own]), context[at], hot[at])
-            d = lay.discounts[m]
-            total = sums[:, 0]
+            known, hot = c > 0, lay.hot(columns)  # a context is the shorter n-gram of the token before, which something follows
+            sums = self._contexts(m, key, hot, known, begin)
+            sums[~np.logical_and.reduce([x >= 0 for x in columns])] = 0
+            total, d = sums[:, 0], lay.discounts[m]
             spare = np.divide(sums[:, 1:] @ np.array(d), total, out=np.ones(len(total)), where=total > 0)
-            p = np.divide(self._discounted(c, d), total, out=np.zeros(len(total)), where=total > 0) + spare * p
-        n = count[-1]
-        base = np.log10((n + 0.5) / (lay.tokens + 0.5 * (vocabulary + 1)))
-        return {"n_tokens": size, "n_known": np.add.reduceat((n > 0).astype(np.int64), starts), "train_tokens": np.full(len(size), lay.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)}
+            context = np.r_[begin, gram[:-1]]
+            context[starts] = begin
+            bits = (len(key) * len(number)).bit_length()
+            order, pair = _order((context * len(number) + token).astype(np.uint64) << np.uint64(64 - bits))
+            of = _starts(pair)
+            one = order[of]  # a token of each distinct n-gram
+            lower, context, last = gram[one], context[one], number[token[one]]
+            gram = np.empty(len(token), np.int64)
+            gram[order] = np.repeat(np.arange(len(of)), np.diff(np.r_[of, len(order)]))
+            columns = [*(x[context] for x in columns), last]
+            longer = _longer(key[context], last)
+            real = np.logical_and.reduce([x >= 0 for x in columns])
+            at = np.flatnonzero(real & (c[lower] > 0) & (known[context] | (context == begin)))  # else the n-gram's last words, or its context, were never seen
+            c = np.zeros(len(of), np.int64)
+            c[at] = self._grams(m, longer[at], key[context[at]], hot[context[at]])
+            total = total[context]
+            p = np.divide(self._discounted(c, d), total, out=np.zeros(len(total)), where=total > 0) + spare[context] * p[lower]
+            if m < lay.order:
+                begin = len(of)
+                columns, c, p = [np.r_[x, self.start] for x in columns], np.r_[c, 0], np.r_[p, 1.0]
+                key = np.r_[longer, chained([x[begin:] for x in columns])]
+        return {"n_tokens": size, "n_known": np.add.reduceat((n > 0).astype(np.int64)[token], starts), "train_tokens": np.full(len(size), lay.tokens), "base_score": np.add.reduceat(base[token], starts), "score": np.add.reduceat(np.log10(p)[gram], starts)}
 
 
 def score(df: DataFrame, layout: Layout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
