@@ -261,6 +261,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
             h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
             order, h = _order(h)
             starts = _starts(h)
             return h[starts], np.add.reduceat(n[order], starts) if len(starts) else n
@@ -395,7 +396,8 @@ def _packed_tokens(texts: DataFrame, layout: Layout) -> DataFrame:
         def flush() -> dict:
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            return _packed(*_rows_summed(rows), layout)
+            rows = _rows_summed(rows)
+            return _packed(*rows, layout)
 
         for part in parts:
             words = Words(part.column("text"))
