@@ -17,6 +17,7 @@ def neighbours(train: DataFrame, test: DataFrame, top_n: int = 15, min_corated:
 
     Pairs without enough common raters have similarity 0; an item is its own neighbour with 1 if the user rated it.
     Order: similarity (to nine digits) downwards, then item. ``with_lowest`` adds the lowest one again.
+    All item pairs are many more than the lists that they are made from, whose size Spark takes for theirs: they are never broadcast.
     """
     wanted = test.select("user", "item").distinct()
     rated = wanted.join(train.select("user", F.col("item").alias("neighbour"), "stars"), "user")
@@ -24,7 +25,8 @@ def neighbours(train: DataFrame, test: DataFrame, top_n: int = 15, min_corated:
         rated = rated.where("item <> neighbour")
     similar = F.when(F.col("item") == F.col("neighbour"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0)))
     met = rated.withColumns({"a": F.least("item", "neighbour"), "b": F.greatest("item", "neighbour")})
-    scored = met.join(pearson_pairs(train, min_corated).select("a", "b", "similarity"), ["a", "b"], "left").select("user", "item", "neighbour", F.round(similar, 9).alias("similarity"), "stars")
+    pairs = pearson_pairs(train, min_corated).select("a", "b", "similarity").hint("merge")
+    scored = met.join(pairs, ["a", "b"], "left").select("user", "item", "neighbour", F.round(similar, 9).alias("similarity"), "stars")
     if non_negative:
         scored = scored.where("similarity >= 0")
     order = [F.desc("similarity"), "neighbour"]

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators.recommend import neighbours
 from quern.operators.similarity import pearson_pairs
 from quern.plans.catalogue import ORACLE_SQL, QUERIES
 from quern.sources.readers import indexed
@@ -52,3 +53,12 @@ def test_no_pair_of_ratings_is_shuffled(spark):
     both = pairs.join(plain.withColumnRenamed("n", "m"), ["a", "b"], "full").toPandas()
     assert len(both) > 400 and (both["n"] == both["m"]).all()
     assert ((both["similarity"] - both["r"].fillna(0.0)).abs() < 1e-9).all()
+
+
+def test_pairs_of_items_are_not_broadcast(spark):
+    """Spark takes the size of the lists for that of the pairs made from them, and would send the pairs through the driver."""
+    ratings = spark.createDataFrame([(u, i, float(u * i % 5)) for u in range(20) for i in range(10)], "user long, item long, stars double")
+    near = neighbours(ratings, spark.createDataFrame([(1, 2), (3, 4)], "user long, item long"), min_corated=1)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [a#" in plan and "BroadcastHashJoin [a#" not in plan
+    assert near.count() == 20
